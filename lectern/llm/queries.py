@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.bpe import bpe_decode, bpe_encode
 from lectern.llm.chat import format_chat, stream_events
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.line_rules import line_frequency_rules
 from lectern.llm.mixing import mix_sources
+from lectern.llm.near_dedup import near_dedup
+from lectern.llm.quality import quality_filter
 from lectern.session import table
 
 
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's ids, and in ``text`` what decoding those ids gives."""
+    return bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_rules(table(spark, sf_dir, "documents"))
 
@@ -94,6 +110,9 @@ GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op5_line_frequency": op5_line_frequency,
         "op7_mix_sources": op7_mix_sources,
         "op8_exact_dedup": op8_exact_dedup,
