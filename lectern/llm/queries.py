@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.bpe import bpe_decode, bpe_encode
 from lectern.llm.chat import format_chat, stream_events
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.html_wrapper import extract_pages
 from lectern.llm.line_rules import line_frequency_rules
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_dedup import near_dedup
 from lectern.llm.quality import quality_filter
+from lectern.llm.substring_dedup import repeated_passages
+from lectern.llm.token_store import write_tokens
 from lectern.session import table
 
 
@@ -29,10 +32,19 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the written store, without the folder's name, which differs from run to run."""
+    return write_tokens(table(spark, sf_dir, "documents")).drop("root")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), copy_col="copy_no")
 
@@ -41,6 +53,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(stream_events(table(spark, sf_dir, "conversations")))
 
@@ -113,9 +129,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_html_extraction": op4_html_extraction,
         "op5_line_frequency": op5_line_frequency,
+        "op6_token_store": op6_token_store,
         "op7_mix_sources": op7_mix_sources,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_repeated_passages": op9_repeated_passages,
         "op10_chat_format": op10_chat_format,
     }
 
