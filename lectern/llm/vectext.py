@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Texts are handled in groups of about this many characters, to bound the arrays.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 _POINTS = 0x110000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -57,7 +57,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n + 1).bit_length())
+    size = 1 << max(19, int(n + 1).bit_length())
     return _powers(size)
 
 
