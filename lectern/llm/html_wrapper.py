@@ -345,7 +345,8 @@ def extract_pages(
     """``(page_id, host, title, text, n_slots, wrapper)``: one row for each page.
 
     The texts of a page go to the slots of its host's wrapper. A slot that holds one and
-    the same text on all of two or more pages is part of the template. ``text`` has the texts of the other slots, one a line,
+    the same text on all pages of its host that have text is part of the template, if there
+    are at least two different pages. ``text`` has the texts of the other slots, one a line,
     without those in titles, links, navigation, forms, headers and footers, or in
     elements of such a class; ``title`` is the first text in a ``title`` element.
 
@@ -355,12 +356,12 @@ def extract_pages(
     """
     wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + 64)).head()[0] or 0
-    source = pages.select(F.col(page_col).alias("page"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
-    joined = source.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host").select("page", "host", "html", "wrapper")
+    source = pages.select(F.col(page_col).alias("page"), _host(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("mark"))
+    joined = source.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host").select("page", "host", "html", "wrapper", "mark")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
-        names = ["page", "host", "title", "fields", "n_slots", "pattern"]
+        names = ["page", "host", "title", "fields", "n_slots", "pattern", "mark"]
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in groups(texts, 1 << 22):
@@ -386,14 +387,16 @@ def extract_pages(
                     rows.append((title, fields, len(wrapper.slot), wrapper.pattern))
                 new = list(zip(*rows))
                 kinds = (pa.string(), pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("content", pa.bool_())])), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(c, k) for c, k in zip(new, kinds))], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(c, k) for c, k in zip(new, kinds)), batch.column(4).slice(a, b - a)], names)
 
     kind = joined.schema["page"].dataType.simpleString()
-    fields = joined.mapInArrow(read, f"page {kind}, host string, title string, fields array<struct<slot:int,text:string,content:boolean>>, n_slots int, pattern string")
+    fields = joined.mapInArrow(read, f"page {kind}, host string, title string, fields array<struct<slot:int,text:string,content:boolean>>, n_slots int, pattern string, mark bigint")
     fields = materialize(fields, "page-fields")
     each = fields.select("host", F.explode(F.array_distinct(F.transform("fields", lambda f: F.struct(f["slot"].alias("slot"), F.xxhash64(f["text"]).alias("h"))))).alias("f"))
     counted = each.groupBy("host", F.col("f.slot").alias("slot")).agg(F.count("*").alias("pages"), F.min("f.h").alias("x"), F.max("f.h").alias("y"))
-    fixed = counted.where("pages > 1 and x = y").groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("fixed"))
+    # equal rows have equal slots: on all rows is on all different pages
+    hosts = fields.where("size(fields) > 0").groupBy("host").agg(F.count("*").alias("all_pages"), F.min("mark").alias("p"), F.max("mark").alias("q")).where("p <> q")
+    fixed = counted.where("x = y").join(hosts, "host").where("pages = all_pages").groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("fixed"))
     fixed = materialize(fixed, "fixed-slots")
     kept = fields.join(small_or_shuffled(fixed, 256, broadcast_bytes), "host", "left")
     told = F.filter("fields", lambda f: f["content"] & ~F.coalesce(F.array_contains(F.col("fixed"), f["slot"]), F.lit(False)))

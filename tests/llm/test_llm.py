@@ -144,6 +144,15 @@ def test_wrapper_accepts_all_and_finds_groups(spark):
     assert H.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+def test_template_is_on_all_different_pages(spark):
+    page = lambda n, note: f"<html><div><h2>same</h2><p>text {n}</p>{note}</div></html>"
+    rows = [(1, "http://a.x/1", page(1, "")), (1, "http://a.x/1", page(1, "")), (2, "http://a.x/2", page(1, ""))]
+    rows += [(10 + n, f"http://b.x/{n}", page(n, "<h3>note</h3>" if n < 2 else "")) for n in range(9)] + [(20, "http://b.x/e", ""), (21, "http://b.x/n", None)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == got[2] == "same\ntext 1"
+    assert got[10] == "text 0\nnote" and got[11] == "text 1\nnote" and got[15] == "text 5" and got[20] == "" and got[21] is None
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_merge_accepts_both(seed):
     rng = random.Random(seed)
