@@ -1,5 +1,6 @@
 """Cases that the supplied tables do not hold."""
 
+import hashlib
 import io
 import random
 import unicodedata
@@ -8,6 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import catalog
 from lectern.functions import identifiers as I, text as S
 from lectern.operators import cache, graph, markdown as M, relational as R, render
 from lectern.sources.archive import content_blocks, open_archive, read_archives
@@ -35,6 +37,14 @@ def test_text(spark):
     assert column(spark, ["in 2020", "12020", "1799 2100", "x1999a"], S.first_year) == [2020, None, None, 1999]
 
 
+def test_search_keys_of_all_documents(spark, tmp_path):
+    texts = ["Plain Té", "“curly” – dash", "Привет, Мир", "漢字 x", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.key for r in catalog.queries()["search_keys"](spark, str(tmp_path)).collect()}
+    keys = ["plain te", "curly dash", "привет мир", "漢字 x", "", None]
+    assert got == {i: None if k is None else hashlib.md5(k.encode()).hexdigest() for i, k in enumerate(keys)}
+
+
 def test_unique_or_nothing(spark):
     papers = spark.createDataFrame([("a", "10.1000/1", ""), ("b", "10.1000/2", "2101.00001"), ("c", "10.1000/2", ""), ("d", None, "2101.00002")], "node string, doi string, arxiv_id string")
     refs = spark.createDataFrame([("a", "10.1000/1", "", "p"), ("a", "10.1000/2", "2101.00001", "q"), ("b", "10.1000/1", "", "p"), ("b", "10.1000/1", "", "Q"), ("c", None, "2101.00002", None)], "source string, doi string, arxiv_id string, provider string")
