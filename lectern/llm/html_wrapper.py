@@ -24,8 +24,10 @@ from lectern.session import BROADCAST_BYTES, materialize, small_or_shuffled
 TEXT = "#"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Slots below these elements, or below an element of such a class, are no content.
-CHROME = frozenset("head title nav footer header aside form button select a script style noscript".split())
+CHROME = frozenset("head title nav footer aside form select script style noscript".split())
 CHROME_CLASS = frozenset("ad ads advert advertisement banner breadcrumb comment-form cookie footer header menu nav navbar promo related share sidebar social sponsor".split())
+#: Elements whose text stays in its line.
+INLINE = frozenset(["a"])
 #: Longest group of tokens that is looked for as a repetition within a page.
 MAX_GROUP = 64
 
@@ -37,26 +39,36 @@ _CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SQUARES = [re.compile(rf"(.{{{n}}})\1+", re.S) for n in range(1, MAX_GROUP + 1)]
 
 
-def tokens(page: str) -> tuple[list[str], list[str]]:
-    """The stream of a page and the texts of its slots. Scripts, styles and comments go."""
+def tokens(page: str, places: list[tuple[int, int]] | None = None) -> tuple[list[str], list[str]]:
+    """The stream of a page and the texts of its slots. Scripts, styles and comments go.
+
+    ``places`` gets for each text the number of its line and of the white space before it.
+    """
     stream, texts = [], []
+    line = space = 0
     for m in _TOKEN.finditer(page):
         name = m.group(3)
         if name:
             name = name.lower()
+            line += name not in INLINE
             if m.group(2):
                 stream.append("/" + name)
             else:
                 c = _CLASS.search(m.group(4)) if m.group(4) else None
                 stream.append(name + "." + ".".join(sorted((c.group(1) or c.group(2) or c.group(3) or "").lower().split())) if c else name)
         elif m.group(5) or m.group(6):
-            t = " ".join(html.unescape(m.group(0)).split())
+            raw = html.unescape(m.group(0))
+            t = " ".join(raw.split())
+            space += raw[:1].isspace()
             if t:
                 if stream and stream[-1] == TEXT:
                     texts[-1] += " " + t
                 else:
                     stream.append(TEXT)
                     texts.append(t)
+                    if places is not None:
+                        places.append((line, space))
+                space += raw[-1:].isspace()
     return stream, texts
 
 
@@ -346,9 +358,9 @@ def extract_pages(
 
     The texts of a page go to the slots of its host's wrapper. A slot that holds one and
     the same text on all pages of its host that have text is part of the template, if there
-    are at least two different pages. ``text`` has the texts of the other slots, one a line,
-    without those in titles, links, navigation, forms, headers and footers, or in
-    elements of such a class; ``title`` is the first text in a ``title`` element.
+    are at least two different pages. ``text`` has the texts of the other slots, one a line
+    but links in their line, without those in titles, navigation, forms, asides and
+    footers, or in elements of such a class; ``title`` is the first text in a ``title`` element.
 
     A page with null html has null title and text; an empty one has an empty text. A null
     url, or one without a host, belongs to host ''. Repeated rows give
@@ -378,19 +390,20 @@ def extract_pages(
                     if text.as_py() is None:
                         rows.append((None, None, len(wrapper.slot), wrapper.pattern))
                         continue
-                    stream, found = tokens(text.as_py())
+                    places: list = []
+                    stream, found = tokens(text.as_py(), places)
                     slots = wrapper.read(stream)
                     if slots is None:
                         raise ValueError(f"the wrapper of {host.as_py()} doesn't accept one of its pages")
                     title = next((t for k, t in zip(slots, found) if any(x.split(".")[0] == "title" for x in wrapper.paths[k])), None)
-                    fields = [{"slot": k, "text": t, "content": is_content(wrapper.paths[k])} for k, t in zip(slots, found)]
+                    fields = [{"slot": k, "text": t, "content": is_content(wrapper.paths[k]), "line": line, "space": space} for k, t, (line, space) in zip(slots, found, places)]
                     rows.append((title, fields, len(wrapper.slot), wrapper.pattern))
                 new = list(zip(*rows))
-                kinds = (pa.string(), pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("content", pa.bool_())])), pa.int32(), pa.string())
+                kinds = (pa.string(), pa.list_(pa.struct([("slot", pa.int32()), ("text", pa.string()), ("content", pa.bool_()), ("line", pa.int32()), ("space", pa.int32())])), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(c, k) for c, k in zip(new, kinds)), batch.column(4).slice(a, b - a)], names)
 
     kind = joined.schema["page"].dataType.simpleString()
-    fields = joined.mapInArrow(read, f"page {kind}, host string, title string, fields array<struct<slot:int,text:string,content:boolean>>, n_slots int, pattern string, mark bigint")
+    fields = joined.mapInArrow(read, f"page {kind}, host string, title string, fields array<struct<slot:int,text:string,content:boolean,line:int,space:int>>, n_slots int, pattern string, mark bigint")
     fields = materialize(fields, "page-fields")
     each = fields.select("host", F.explode(F.array_distinct(F.transform("fields", lambda f: F.struct(f["slot"].alias("slot"), F.xxhash64(f["text"]).alias("h"))))).alias("f"))
     counted = each.groupBy("host", F.col("f.slot").alias("slot")).agg(F.count("*").alias("pages"), F.min("f.h").alias("x"), F.max("f.h").alias("y"))
@@ -400,5 +413,8 @@ def extract_pages(
     fixed = materialize(fixed, "fixed-slots")
     kept = fields.join(small_or_shuffled(fixed, 256, broadcast_bytes), "host", "left")
     told = F.filter("fields", lambda f: f["content"] & ~F.coalesce(F.array_contains(F.col("fixed"), f["slot"]), F.lit(False)))
-    text = F.when(F.col("fields").isNotNull(), F.array_join(F.transform(told, lambda f: f["text"]), "\n"))
+    kept = kept.withColumn("told", told)
+    before = lambda i: F.get("told", i - 1)
+    joint = lambda f, i: F.when(i == 0, "").when(f["line"] != before(i)["line"], "\n").when(f["space"] != before(i)["space"], " ").otherwise("")
+    text = F.when(F.col("fields").isNotNull(), F.array_join(F.transform("told", lambda f, i: F.concat(joint(f, i), f["text"])), ""))
     return kept.select(F.col("page").alias(page_col), "host", "title", text.alias("text"), "n_slots", F.col("pattern").alias("wrapper"))

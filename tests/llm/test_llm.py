@@ -153,6 +153,13 @@ def test_template_is_on_all_different_pages(spark):
     assert got[10] == "text 0\nnote" and got[11] == "text 1\nnote" and got[15] == "text 5" and got[20] == "" and got[21] is None
 
 
+def test_links_and_headers_in_articles_stay(spark):
+    page = lambda n: f"<nav><a>home {n}</a></nav><header><a>site</a></header><article><header><h1>Head {n}</h1></header><p>See {n} the <a>guide {n}</a>, <a>x{n}</a>y{n}.</p></article>"
+    rows = [(n, f"http://a.x/{n}", page(n)) for n in range(3)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == "Head 1\nSee 1 the guide 1, x1y1."
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_merge_accepts_both(seed):
     rng = random.Random(seed)
