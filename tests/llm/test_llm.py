@@ -250,6 +250,24 @@ def test_passages(spark):
     assert P.repeated_passages(odd(spark).limit(0)).collect() == []
 
 
+def test_passages_of_all_pairs(spark):
+    rng = random.Random(8)
+    p, q = text(rng, 60), text(rng, 60)
+    rows = [(10 + i, text(rng, 20) + " " + p + " " + text(rng, 20), "s") for i in range(4)]
+    words = q.split()
+    rows += [(i, text(rng, 30) + " " + " ".join(words[6 * i : 6 * i + 12]) + " " + text(rng, 30), "s") for i in range(1, 9)]  # parts of q before
+    rows += [(30 + i, text(rng, 20) + " " + q + " " + text(rng, 20), "s") for i in range(2)]
+    rows += [(n, rows[n - 40][1], "s") for n in (40, 41)] + [(5, rows[0][1], "s")]  # copies, one with the smallest id
+    by = {i: t for i, t, _ in rows}
+    rows = [(i, t, s) for i, t, s in rows if by[i] == t]
+    wanted = {(i, j) for i in by for j in by if j < i and any(x in by[i] and x in by[j] for x in (p, q))}
+    assert len(wanted) > 20
+    for frequent in (200, 2):
+        got = P.repeated_passages(docs(spark, *rows), frequent=frequent).collect()
+        assert {(r.doc_id, r.other_id) for r in got if r.n_words >= 60} == wanted
+        assert all(by[r.doc_id][r.begin : r.end] == by[r.other_id][r.other_begin : r.other_end] for r in got if r.similarity == 1)
+
+
 def brute_align(x, y):
     best = 0
     h = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
