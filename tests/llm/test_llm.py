@@ -230,6 +230,18 @@ def test_token_store(spark):
 # 9
 
 
+def words_of(t):
+    h, begin, end, _ = V.words([t])
+    return h, begin, end
+
+
+def same_class(got):
+    by = {}
+    for r in got:
+        by.setdefault((r.class_id, r.class_begin), set()).add(r.doc_id)
+    return {(i, j) for ids in by.values() for i in ids for j in ids if j < i}
+
+
 def test_passages(spark):
     rng = random.Random(5)
     rows, planted = [], set()
@@ -238,19 +250,22 @@ def test_passages(spark):
         for j in range(3):
             q = edited(rng, p, 0.04 * (g % 3)) if j else p
             rows.append((10 * g + j, text(rng, 40 + 7 * j) + " " + q + " " + text(rng, 30), "s"))
-        planted |= {10 * g + 1, 10 * g + 2}
+        planted |= {(10 * g + i, 10 * g + j) for i in range(3) for j in range(i)}
     rows += [(1000 + i, text(rng, 150), "s") for i in range(20)]
     by = {i: t for i, t, _ in rows}
     got = P.repeated_passages(docs(spark, *rows)).collect()
-    found = {r.doc_id for r in got}
-    assert len(found & planted) >= 0.9 * len(planted) and not any(r.doc_id // 10 != r.other_id // 10 for r in got)
+    pairs = same_class(got)
+    assert len(pairs & planted) >= 0.9 * len(planted) and pairs <= planted
+    assert all(r.n_links == sum(r.doc_id in p for p in pairs) and r.n_words >= 40 for r in got)
     same = [r for r in got if r.similarity == 1]
-    assert same and all(by[r.doc_id][r.begin : r.end] == by[r.other_id][r.other_begin : r.other_end] for r in same)
-    assert {(r.doc_id, r.other_id) for r in P.repeated_passages(odd(spark)).collect()} == {(4, 3)}
+    assert same and all(by[r.doc_id][r.begin : r.end] in by[r.other_id] or by[r.other_id][r.other_begin : r.other_end] in by[r.doc_id] for r in same)
+    odd_rows = P.repeated_passages(odd(spark)).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in odd_rows} == {(3, 3, 1), (4, 3, 1)}
     assert P.repeated_passages(odd(spark).limit(0)).collect() == []
 
 
-def test_passages_of_all_pairs(spark):
+@pytest.mark.parametrize("frequent", [200, 3])
+def test_passages_of_all_pairs(spark, frequent):
     rng = random.Random(8)
     p, q = text(rng, 60), text(rng, 60)
     rows = [(10 + i, text(rng, 20) + " " + p + " " + text(rng, 20), "s") for i in range(4)]
@@ -262,10 +277,63 @@ def test_passages_of_all_pairs(spark):
     rows = [(i, t, s) for i, t, s in rows if by[i] == t]
     wanted = {(i, j) for i in by for j in by if j < i and any(x in by[i] and x in by[j] for x in (p, q))}
     assert len(wanted) > 20
-    for frequent in (200, 2):
-        got = P.repeated_passages(docs(spark, *rows), frequent=frequent).collect()
-        assert {(r.doc_id, r.other_id) for r in got if r.n_words >= 60} == wanted
-        assert all(by[r.doc_id][r.begin : r.end] == by[r.other_id][r.other_begin : r.other_end] for r in got if r.similarity == 1)
+    got = P.repeated_passages(docs(spark, *rows), frequent=frequent).collect()
+    assert same_class(got) == wanted
+    for r in got:
+        assert all(x not in by[r.doc_id] or x in by[r.doc_id][r.begin : r.end] for x in (p, q))
+
+
+@pytest.mark.parametrize("frequent", [200, 3])
+def test_passages_against_brute_force(spark, frequent):
+    """Seeds of one passage were in other documents before; the first documents hold pieces only."""
+    rng = random.Random(11)
+    passages = [text(rng, 88) for _ in range(4)]
+    rows = []
+    for n, p in enumerate(passages):
+        w = p.split()
+        rows += [(100 * n + i, text(rng, 25) + " " + " ".join(w[8 * i : 8 * i + 24]) + " " + text(rng, 25), "s") for i in range(9)]
+        rows += [(100 * n + 50 + i, text(rng, 25) + " " + edited(rng, p, 0.02 * i) + " " + text(rng, 25), "s") for i in range(3)]
+    hashes = {i: words_of(t)[0] for i, t, _ in rows}
+    brute = set()
+    for i, j in combinations(sorted(hashes), 2):
+        score, x0, x1, y0, y1 = P.align(hashes[i], hashes[j], -200, 200)
+        if min(x1 - x0, y1 - y0) >= 40 and score >= 0.6 * max(x1 - x0, y1 - y0):
+            brute.add((j, i))
+    assert len(brute) >= 12
+    assert same_class(P.repeated_passages(docs(spark, *rows), frequent=frequent).collect()) == brute
+
+
+def test_passages_between_gaps(spark):
+    """Ten exact passages of 60 words with 20 other words between them are all found."""
+    rng = random.Random(4)
+    parts = [text(rng, 60) for _ in range(10)]
+    a, b = (" ".join(p + " " + text(rng, 20) for p in parts) for _ in range(2))
+    got = {}
+    for r in P.repeated_passages(docs(spark, (1, a, "s"), (2, b, "s"))).collect():
+        got.setdefault(r.doc_id, []).append((a if r.doc_id == 1 else b)[r.begin : r.end])
+    assert all(sum(p in t for t in got[i]) == 1 for p in parts for i in (1, 2))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_chains_score_like_brute_force(seed):
+    rng = random.Random(seed)
+    n = rng.randrange(2, 14)
+    points = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(n)})
+    x, y = (np.array(c) for c in zip(*points))
+    best = {}
+
+    def score(i):
+        if i not in best:
+            before = [score(j) - 0.25 * (x[i] - x[j] + y[i] - y[j]) for j in range(len(x)) if x[j] < x[i] and y[j] < y[i]]
+            best[i] = 5 + max([0.0, *before])
+        return best[i]
+
+    got = P.chains(x, y, 5, 0.25, 1000)
+    assert sorted(i for c in got for i in c) == list(range(len(x)))
+    assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in got if (y - x != (y - x)[0]).any())
+    c = got[0]
+    if (y - x != (y - x)[0]).any():
+        assert abs(5 * len(c) - 0.25 * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]]) - max(score(i) for i in range(len(x)))) < 1e-9
 
 
 def brute_align(x, y):
@@ -289,6 +357,17 @@ def test_align(seed):
         assert brute_align(x[x0:x1], y[y0:y1]) == score
 
 
+def test_align_many_at_once():
+    rng = random.Random(3)
+    word = lambda n: np.array([rng.randrange(6) for _ in range(n)], dtype=np.int64)
+    tasks = [(word(rng.randrange(1, 60)), word(rng.randrange(1, 60)), *sorted((rng.randrange(-70, 70), rng.randrange(-70, 70)))) for _ in range(200)]
+    for penalty in (1, 4):
+        for (x, y, low, high), (score, x0, x1, y0, y1) in zip(tasks, P.align_all(tasks, penalty)):
+            assert score == P.align(x, y, low, high, penalty)[0]
+            if score:
+                assert P.align(x[x0:x1], y[y0:y1], low + x0 - y0, high + x0 - y0, penalty) == (score, 0, x1 - x0, 0, y1 - y0)
+
+
 # Pipeline
 
 
