@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, types as T
 
 #: Ranks of a public byte-level BPE vocabulary; every executor must see the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Characters that the transducer takes at a time.
+WINDOW = 1 << 11
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -71,23 +73,25 @@ def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
 class Transducer:
     """Encoder that reads pieces of text and emits token ids as soon as they are final.
 
-    Three kinds of boundary are final: white space after something else always begins a
+    Four kinds of boundary are final: white space after something else always begins a
     new pretoken; a pretoken is complete once ``GUARD`` characters after it are known;
-    and inside a longer pretoken a token is final once ``lookahead`` bytes after it are
-    known. Since every run of a BPE result is the BPE result of its text, encoding goes
-    on from any final boundary as if the text began there. So at most ``window``
-    characters are held (more only if no boundary between characters is final).
+    inside a longer pretoken a token is final once ``lookahead`` bytes after it are
+    known; and the end of the text. Since every run of a BPE result is the BPE result of its text, encoding goes
+    on from any final boundary as if the text began there. So at most two windows of
+    characters are held, whatever the length of a text (more only if no boundary between characters is final).
+    Texts of any length take this way. ``boundaries`` counts the kinds used.
     """
 
     GUARD = 3  # the longest pretoken of fixed text ('ll) has three characters
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, window: int = 1 << 16):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, window: int = WINDOW):
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.table = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
-        self.border = regex.compile(r"(?<=\S)\s")
+        self.border = regex.compile(r"(?r)(?<=\S)\s")  # from the end
         self.lookahead = sufficient_lookahead(ranks)
         self.window = max(window, 64)
+        self.boundaries = {"space": 0, "pretoken": 0, "lookahead": 0, "end": 0}
 
     def feed(self, pieces: Iterable[str]) -> Iterator[list[int]]:
         held, limit = "", self.window
@@ -102,14 +106,13 @@ class Transducer:
                     yield ids
                     held, limit = held[n:], self.window
         if held:
+            self.boundaries["end"] += 1
             yield self.core.encode_ordinary(held)
 
     def _stable(self, held: str) -> tuple[list[int], int]:
         """Ids of a final prefix of ``held`` and its length, 0 if nothing is final yet."""
-        half = len(held) // 2
-        cut = 0
-        for m in self.border.finditer(held, half):
-            cut = m.start()
+        found = self.border.search(held, len(held) // 2)
+        cut, kind = (found.start(), "space") if found else (0, "pretoken")
         if not cut:
             end = len(held) - self.GUARD
             for m in self.split.finditer(held):
@@ -118,6 +121,7 @@ class Transducer:
                 if not held[m.end() - 1].isspace():
                     cut = m.end()
         if cut:
+            self.boundaries[kind] += 1
             return self.core.encode_ordinary(held[:cut]), cut
         ids = self.core.encode_ordinary(held)
         known = len(held.encode("utf-8", "surrogatepass")) - self.lookahead
@@ -129,12 +133,14 @@ class Transducer:
             read += len(reader.decode(self.table[i]))
             if not reader.getstate()[0]:
                 out = (k + 1, read)
+        self.boundaries["lookahead"] += out[0] > 0
         return ids[: out[0]], out[1]
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.window:
-            return self.core.encode_ordinary(text)
-        return [i for ids in self.feed([text]) for i in ids]
+        out: list[int] = []
+        for ids in self.feed((text,)):
+            out += ids
+        return out
 
 
 class Decoder:
@@ -174,11 +180,11 @@ def _place(batch: pa.RecordBatch, names: list[str], new: dict[str, pa.Array]) ->
     return pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(batch.schema.get_field_index(n)) for n in names], names)
 
 
-def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY, window: int = 1 << 16, keep_text: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """``docs`` with the array of token ids in place of the text, and ``n_tokens``.
 
     A null text has null ids and null ``n_tokens``; an empty one has no ids. Texts are
-    encoded whole, whatever their length. No row moves. A column of ``docs`` that has
+    encoded whole, whatever their length, window by window. Repeated rows are encoded each. No row moves. A column of ``docs`` that has
     the name of an added column is replaced. An empty table stays empty.
     """
     source = docs if keep_text else docs.withColumnRenamed(text_col, "__bpe_text")
