@@ -24,7 +24,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     Events delivered twice (all six fields equal) count once. Events with a null conv_id,
     seq or msg, or with another kind, are dropped. Null texts are empty. A message's role is
     the last one given with it, null if none was. A message left without events does not appear;
-    one that an edit or delta begins does.
+    one that an edit or delta begins does. ``msg`` and ``seq`` may be of any type that has an order. Long texts stay whole;
+    an empty log gives no rows.
     """
     e = events.select("conv_id", "seq", F.lower("kind").alias("kind"), "msg", "role", F.coalesce("text", F.lit("")).alias("text"))
     e = e.where(F.col("conv_id").isNotNull() & F.col("seq").isNotNull() & F.col("msg").isNotNull() & F.col("kind").isin(*KINDS))
@@ -40,7 +41,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     e = e.withColumn("__ch_rep", repeated).withColumn(_RANK, F.row_number().over(log)).where(~F.col("__ch_rep"))
     message = Window.partitionBy("conv_id", "msg").orderBy(_RANK)
     whole = message.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    earlier = Window.partitionBy("conv_id").orderBy("msg").rangeBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("__ch_msg", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("msg")))
+    earlier = Window.partitionBy("conv_id").orderBy("__ch_msg").rangeBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("__ch_cut", F.max(F.when(F.col("kind") == "regenerate", F.col(_RANK))).over(earlier))
     e = e.where(F.col("__ch_cut").isNull() | (F.col("__ch_cut") < F.col(_RANK)))
     e = e.withColumn("__ch_reset", F.max(F.when(F.col("kind") != "delta", F.col(_RANK))).over(whole))
@@ -70,25 +72,38 @@ def render_chat(messages: DataFrame, start: str = "<|im_start|>", end: str = "<|
 
 
 def stream_events(conversations: DataFrame) -> DataFrame:
-    """The event log of a table ``(conv_id, turn, role, text)`` of whole messages.
+    """The event log of a table ``(conv_id, turn, role, text)`` of whole messages, as a client with drafts would log it.
 
-    A row becomes an opening ``message`` and one ``delta`` per line, as a client that
-    streams line by line would log it. Rows with a null turn or conv_id give no events;
-    if a turn occurs more than once, the row whose role and text sort last counts.
+    A turn of an assistant opens with a ``message``, streams a draft and begins the next message; then it is
+    regenerated and streams its text, one ``delta`` for each line. Any other turn opens with a draft, which an ``edit``
+    replaces by the first line; the further lines are deltas. Folding the log gives the table again.
+
+    Rows with a null turn or conv_id give no events; if a turn occurs more than once, the row whose role and text
+    sort last counts. Null and empty texts are one empty line. Turns of up to 18 digits keep their order.
+    Other columns are ignored; an empty table gives no events.
     """
     w = Window.partitionBy("conv_id", "turn").orderBy(F.col("role").desc_nulls_last(), F.col("text").desc_nulls_last())
     rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
     rows = rows.withColumn("__ch_row", F.row_number().over(w)).where("__ch_row = 1")
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("\n"), x)))
-    opened = F.concat(F.array(F.lit("")), lines)
-    return rows.select("conv_id", F.col("turn").alias("msg"), "role", F.posexplode(opened).alias("__ch_i", "text")).select(
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    event = lambda kind, text, role="role", later=False: F.struct(F.lit(kind).alias("kind"), F.lit(later).alias("later"), (F.col(role) if role == "role" else F.lit(role)).alias("role"), text.alias("text"))
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: event("delta", F.concat(F.lit("\n"), x)))
+    again = F.array(event("message", F.lit("")), event("delta", F.lit("draft")), event("message", F.lit("too early"), "tool", True), event("regenerate", F.lit("")), event("delta", F.get(lines, F.lit(0))))
+    edited = F.array(event("message", F.lit("draft")), event("delta", F.lit(" text")), event("edit", F.get(lines, F.lit(0))))
+    opened = F.concat(F.when(F.col("role") == "assistant", again).otherwise(edited), rest)
+    return rows.select("conv_id", F.col("turn").cast("decimal(18,0)").alias("turn"), F.posexplode(opened).alias("__ch_i", "e")).select(
         "conv_id",
-        (F.col("msg").cast("bigint") * F.lit(1 << 32) + F.col("__ch_i")).alias("seq"),
-        F.when(F.col("__ch_i") == 0, F.lit("message")).otherwise(F.lit("delta")).alias("kind"),
-        "msg", "role", "text",
+        (F.col("turn") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("__ch_i")).alias("seq"),
+        F.col("e.kind").alias("kind"),
+        (F.col("turn") + F.col("e.later").cast("int")).alias("msg"),
+        F.col("e.role").alias("role"),
+        F.col("e.text").alias("text"),
     )
 
 
 def format_chat(events: DataFrame) -> DataFrame:
-    """Fold a log of events into final messages and render each conversation."""
+    """Fold a log of events into final messages and render each conversation: ``(conv_id, n_messages, text)``.
+
+    What nulls, ties, repeated events and other columns give is stated at ``fold_events`` and ``render_chat``.
+    """
     return render_chat(fold_events(events))

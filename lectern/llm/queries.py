@@ -114,13 +114,32 @@ SELECT doc_id, text, lang, source, n_chars FROM (
 ) WHERE text IS NULL OR rn = 1
 """
 
+#: Builds the log of drafts, edits and regenerations and folds it.
 OP10_SQL = """
+WITH turns AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS rn FROM conversations)
+  WHERE rn = 1 AND conv_id IS NOT NULL AND turn IS NOT NULL
+), lines AS (
+  SELECT conv_id, turn, role, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM turns
+), log AS (
+  SELECT conv_id, turn, 0 AS i, turn AS msg, role, 'message' AS kind, CASE WHEN role = 'assistant' THEN '' ELSE 'draft' END AS text FROM turns
+  UNION ALL SELECT conv_id, turn, 1, turn, role, 'delta', CASE WHEN role = 'assistant' THEN 'draft' ELSE ' text' END FROM turns
+  UNION ALL SELECT conv_id, turn, 2, turn + 1, 'tool', 'message', 'too early' FROM turns WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn, 3, turn, role, 'regenerate', '' FROM turns WHERE role = 'assistant'
+  UNION ALL SELECT conv_id, turn, 3 + i, turn, role, CASE WHEN i = 1 AND role IS DISTINCT FROM 'assistant' THEN 'edit' ELSE 'delta' END, CASE WHEN i = 1 THEN line ELSE chr(10) || line END FROM lines
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS n FROM log
+), kept AS (
+  SELECT *, max(CASE WHEN kind = 'regenerate' THEN n END) OVER (PARTITION BY conv_id ORDER BY msg RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM numbered
+), live AS (
+  SELECT *, max(CASE WHEN kind <> 'delta' THEN n END) OVER (PARTITION BY conv_id, msg) AS reset FROM kept WHERE cut IS NULL OR cut < n
+), folded AS (
+  SELECT conv_id, msg, arg_max(role, n) AS role, string_agg(text, '' ORDER BY n) AS text FROM live WHERE reset IS NULL OR n >= reset GROUP BY conv_id, msg
+)
 SELECT conv_id, count(*)::INT AS n_messages,
        string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|', '< |') || chr(10)
-                  || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role DESC, text DESC) AS rn FROM conversations)
-WHERE rn = 1 AND conv_id IS NOT NULL AND turn IS NOT NULL
-GROUP BY conv_id
+                  || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY msg) AS text
+FROM folded GROUP BY conv_id
 """
 
 
