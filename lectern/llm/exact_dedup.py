@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.llm.keyfilter import mark_possible
 from lectern.session import BROADCAST_BYTES, materialize
 
 _H, _RN = "__xd_hash", "__xd_rn"
@@ -26,7 +27,8 @@ def exact_dedup(
     Rows meet by the MD5 of the text; rows of one hash are then compared by the text
     itself, so a hash collision never drops a row. Only (hash, count) crosses the
     network for texts that occur once: texts move only for hashes seen at least twice.
-    If those hashes are too many to broadcast, the texts are shuffled once instead.
+    If those hashes are too many to broadcast, a bitmap of fixed size keeps the other rows out
+    of the shuffle. Of a hot text, each task sends one row. Texts are compared whole, however long.
 
     Null texts carry no content and are all kept. Empty texts are equal to each other.
     Rows repeated with the same id count as copies, one stays. Null ids sort last.
@@ -43,8 +45,9 @@ def exact_dedup(
         single = keyed.join(some, _H, "left_anti")
         copies = keyed.join(some, _H, "left_semi")
     else:
-        single = keyed.where(F.col(_H).isNull())
-        copies = keyed.where(F.col(_H).isNotNull())
+        keyed = mark_possible(keyed, twice, _H, "__xd_hit").withColumn("__xd_hit", F.col("__xd_hit") & F.col(_H).isNotNull())
+        single = keyed.where("not __xd_hit")
+        copies = keyed.where("__xd_hit")
     kept = copies.withColumn(_RN, F.row_number().over(first)).where(F.col(_RN) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return single.select(*columns).unionByName(kept.select(*columns))

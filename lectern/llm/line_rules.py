@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lectern.llm.keyfilter import mark_possible
 from lectern.session import BROADCAST_BYTES, materialize, small_or_shuffled
 
 _K, _POS, _HIT, _ROW, _LINE, _N = "__lf_key", "__lf_pos", "__lf_hits", "__lf_row", "__lf_line", "__lf_n"
 
 
+def _key(*columns: Column) -> Column:
+    """128 bits of the columns."""
+    return F.struct(F.xxhash64(*columns).alias("p"), F.xxhash64(F.lit(1), *columns).alias("q"))
+
+
 def _lines(docs: DataFrame, text_col: str, id_col: str, host_col: str) -> DataFrame:
     """One row per non-blank line: row key, id, position and hash of (host, normalised line)."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0"))
@@ -16,13 +22,13 @@ def _lines(docs: DataFrame, text_col: str, id_col: str, host_col: str) -> DataFr
     return (
         docs.select(
             F.col(id_col).alias("__lf_id"),
-            F.xxhash64(F.col(id_col), F.col(text_col)).alias(_ROW),
+            _key(F.col(id_col), F.col(text_col)).alias(_ROW),
             host.alias("__lf_host"),
             F.posexplode(F.split(F.col(text_col), "\n")).alias(_POS, _LINE),
         )
         .withColumn(_LINE, line)
         .where(F.col(_LINE) != "")
-        .select("__lf_id", _ROW, "__lf_host", _POS, F.xxhash64("__lf_host", _LINE).alias(_K))
+        .select("__lf_id", _ROW, "__lf_host", _POS, _key(F.col("__lf_host"), F.col(_LINE)).alias(_K))
     )
 
 
@@ -43,9 +49,10 @@ def line_frequency_rules(
     that host hold it. A document that loses lines is rejected if less than ``min_kept``
     of its characters stay. Documents without such lines are returned unchanged.
 
-    Counts go over all rows as 64-bit hashes of (host, line), so one host's hot line is
+    Counts go over all rows as 128-bit hashes of (host, line), so one host's hot line is
     combined on the map side; texts are not shuffled as long as the positions to drop
-    can be broadcast.
+    can be broadcast; beyond that a bitmap of fixed size keeps rows without such lines out of the shuffle.
+    A line at the limit stays. Long texts and lines are read whole.
 
     Null texts stay as they are; blank lines are never counted nor dropped, unless the
     document goes. A null host is a host of its own. Repeated rows with one id count as
@@ -70,7 +77,13 @@ def line_frequency_rules(
         .agg(F.collect_set(_POS).alias(_HIT)),
         "line-positions",
     )
-    joined = docs.withColumn(_ROW, F.xxhash64(F.col(id_col), F.col(text_col))).join(small_or_shuffled(hits, 160, broadcast_bytes), _ROW, "left")
+    keyed = docs.withColumn(_ROW, _key(F.col(id_col), F.col(text_col)))
+    few = small_or_shuffled(hits, 160, broadcast_bytes)
+    if few is hits:
+        keyed = mark_possible(keyed, hits, _ROW, "__lf_flag")
+        joined = keyed.where("__lf_flag").join(hits, _ROW, "left").unionByName(keyed.where("not __lf_flag"), allowMissingColumns=True)
+    else:
+        joined = keyed.join(few, _ROW, "left")
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains({_HIT}, i)), '\\n')")
     text = F.when(F.col(_HIT).isNull(), F.col(text_col)).otherwise(kept)
     stays = F.col(_HIT).isNull() | (F.length("__lf_text") >= F.lit(min_kept) * F.length(text_col))

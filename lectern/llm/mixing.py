@@ -56,9 +56,11 @@ def mix_sources(
     do; rows never leave their partition. A null source is a source of its own (key
     ``None``). Null texts count as empty; a source with no characters, or not in
     ``weights``, gives no rows. Rows with a null id share one draw per source. Repeated
-    ids share their draw. ``copy_col`` adds the number of the copy, from 1. An empty
-    table stays empty.
+    ids share their draw. ``copy_col`` adds the number of the copy, from 1; a column of ``docs``
+    with that name is replaced. Long texts count whole. An empty table stays empty.
     """
+    if copy_col in docs.columns:
+        docs = docs.drop(copy_col)
     size = F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("bigint"))
     sizes = {r[0]: int(r[1]) for r in docs.groupBy(F.col(source_col).alias(_S)).agg(size.alias("__mx_n")).collect()}
     weights = dict.fromkeys(sizes, 1.0) if weights is None else dict(weights)

@@ -15,7 +15,7 @@ class SubwordClassifier:
     """Averaged vectors of hashed words and character n-grams, and a softmax layer.
 
     A word is what stands between white space, as written. The n-grams are those of the
-    word with a space at either end. Words and n-grams of each length share one table of
+    word with a space at either end (a text's first word has none before it), but for a whole word with both. Words and n-grams of each length share one table of
     ``buckets`` vectors. The model is linear in the table, so that a document's logits are
     the mean of its features' logits.
     """
@@ -108,8 +108,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, text_c
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("__qc_y"))
     few = few.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     texts = docs.select(F.col(id_col), F.col(text_col).alias("__qc_text")).where(F.col("__qc_text").isNotNull())
-    rows = texts.join(F.broadcast(few), id_col).toPandas()  # at most ``sample`` ids are broadcast
-    rows = rows.sort_values([id_col, "__qc_text"]).drop_duplicates(id_col)
+    # at most ``sample`` ids are broadcast; of several texts under one id the smallest comes to the driver
+    rows = texts.join(F.broadcast(few), id_col).groupBy(id_col).agg(F.min("__qc_text").alias("__qc_text"), F.min("__qc_y").alias("__qc_y")).toPandas()
+    rows = rows.sort_values([id_col, "__qc_text"])
     if rows["__qc_y"].nunique() < 2:
         return None
     return SubwordClassifier(**options).fit(rows["__qc_text"].tolist(), rows["__qc_y"].astype(int).tolist())
@@ -144,7 +145,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, min_score: float = 0.5, t
     """Rows of ``docs`` that the classifier doesn't reject, with unchanged columns.
 
     A row is rejected if its score is below ``min_score``. Rows without a score (null text,
-    or no model for want of labels) stay. An empty table stays empty.
+    or no model for want of labels) stay. A score of exactly ``min_score`` is enough. Long texts are scored whole,
+    repeated rows each. Columns may have any names but those beginning with ``__qc_``. An empty table stays empty.
     """
     model = train_quality(docs, labels, text_col=text_col, id_col=id_col, **options)
     scored = score_quality(docs, model, text_col, "__qc_score")
