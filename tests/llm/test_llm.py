@@ -1,11 +1,15 @@
 """The ten operators against brute force, round trips, SQL and odd inputs."""
 
+import hashlib
+import json
 import random
 from itertools import combinations
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import bpe, chat, html_wrapper as H, near_dedup as N, queries, substring_dedup as P, token_store as K, vectext as V
@@ -64,7 +68,30 @@ def test_bpe_streams_like_whole_texts(seed):
         assert got == brute and decoder.decode(got, 3) == s
 
 
+def test_bpe_boundaries():
+    """Every kind of boundary is used, texts below a window included in the same way, and what is held stays bounded."""
+    ranks = bpe.load_ranks(bpe.VOCABULARY)
+    t = bpe.Transducer(ranks, window=2048)
+    texts = ["plain words " * 1000, "a-b_c" * 2000, "ing" * 4000, "short", ""]
+    longest = 0
+    for s in texts:
+        brute = t.core.encode_ordinary(s)
+        stable = t._stable
+        def watched(held):
+            nonlocal longest
+            longest = max(longest, len(held))
+            return stable(held)
+        t._stable = watched
+        assert t.encode(s) == brute
+        del t._stable
+    assert all(n > 0 for n in t.boundaries.values()) and t.boundaries["end"] == 4
+    assert longest <= 2 * 2048 and t.lookahead < 2048
+
+
 def test_bpe_tables(spark):
+    df = odd(spark).withColumn("n_tokens", F.lit("x")).withColumn("token_ids", F.lit(1))
+    out = bpe.bpe_encode(df)
+    assert dict(out.dtypes)["n_tokens"] == "int" and dict(out.dtypes)["token_ids"] == "array<int>"
     df = odd(spark)
     back = bpe.bpe_decode(bpe.bpe_encode(df))
     assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
@@ -93,9 +120,87 @@ def test_quality_features_stay_in_their_text():
     assert all(sorted(f[d == i]) == sorted(a) for i, a in enumerate(alone))
 
 
+def naive_features(m, t):
+    """Words as written and n-grams of words with a space at either end, hashed one by one."""
+    one = lambda g, seed: int(V.span_hash(V.prefix_hash(np.array([ord(c) for c in g], dtype=np.uint32)), np.array([0]), np.array([len(g)]), seed)[0]) & (m.buckets - 1)
+    out = []
+    for k, w in enumerate((t or "").split()):
+        out.append(one(w, 1))
+        padded = f" {w} " if k else f"{w} "
+        out += [one(padded[i : i + n], n) for n in m.grams for i in range(len(padded) - n + 1) if not padded[i] == padded[i + n - 1] == ' ']
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classifier_against_brute_force(seed):
+    rng = random.Random(seed)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))) for _ in range(12)] + ["", None]
+    labels = [rng.randrange(2) for _ in texts]
+    m = SubwordClassifier(buckets=1 << 12, dim=4)
+    vectors, output, bias = m.vectors.astype(float), m.output.astype(float), m.bias.astype(float)
+    order, step, steps = np.random.default_rng(m.seed), 0, 3 * len(texts)
+    for _ in range(3):  # the same gradient descent, feature by feature
+        for i in order.permutation(len(texts)):
+            f = naive_features(m, texts[i])
+            rate = 0.5 * (1 - step / steps)
+            step += 1
+            if not f:
+                continue
+            mean = sum(vectors[j] for j in f) / len(f)
+            p = np.exp(mean @ output + bias)
+            p /= p.sum()
+            p[labels[i]] -= 1
+            back, share = output @ p, {j: f.count(j) / len(f) for j in f}
+            output, bias = output - rate * np.outer(mean, p), bias - rate * p
+            for j, x in share.items():
+                vectors[j] -= rate * x / sum(y * y for y in share.values()) * back
+    m.fit(texts, labels, epochs=3)
+    got = m.probabilities(texts)
+    for t, p in zip(texts, got):
+        f = naive_features(m, t)
+        z = (sum(vectors[j] for j in f) / len(f) if f else np.zeros(4)) @ output + bias
+        assert abs(p[1] - np.exp(z[1]) / np.exp(z).sum()) < 1e-3
+
+
 # 3
 
 
+def near_brute(rows, threshold=0.45):
+    words = {i: V.words([t])[0] for i, t, _ in rows}
+    counts = np.zeros(1 << 20, dtype=np.int64)
+    for w in words.values():
+        counts[np.unique(V.shingles(w, 3) & np.uint64((1 << 20) - 1)).astype(np.int64)] += 1
+    vectors = {i: N.weighted_shingles(w, N.idf_of(counts, len(rows)), 3) for i, w in words.items()}
+    return {(a, b): s for a, b in combinations(sorted(words), 2) if (s := N.weighted_jaccard(vectors[a], vectors[b])) >= threshold}
+
+
+def test_near_dedup_recall_close_to_the_threshold(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(150):
+        t = text(rng, 150)
+        rows += [(10 * g, t, "s"), (10 * g + 1, edited(rng, t, 0.115), "s")]
+    brute = {p: s for p, s in near_brute(rows).items() if s < 0.55}
+    assert len(brute) > 40
+    got = {r.doc_id for r in N.near_dedup(docs(spark, *rows)).collect()}
+    assert sum(b not in got for _, b in brute) >= 0.9 * len(brute)
+
+
+def test_large_buckets_are_compared_by_component(spark):
+    """Two groups that share no first document but buckets; ``pairwise=1`` compares components only."""
+    rng = random.Random(9)
+    t = text(rng, 120)
+    rows = [(i, edited(rng, t, 0.04), "s") for i in range(12)] + [(20 + i, text(rng, 100), "s") for i in range(5)]
+    group = {i: i for i, _, _ in rows}
+    for a, b in near_brute(rows):
+        low, high = sorted((group[a], group[b]))
+        group = {i: low if g == high else g for i, g in group.items()}
+    firsts = {g for g in group.values() if g < 20}
+    for pairwise in (1, 64):
+        got = {r.doc_id for r in N.near_dedup(docs(spark, *rows), pairwise=pairwise).collect()}
+        assert {r for r in got if r < 20} == firsts and got >= set(range(20, 25))
+
+
 def test_near_dedup_recall(spark):
     rng = random.Random(2)
     rows = []
@@ -160,11 +265,51 @@ def test_links_and_headers_in_articles_stay(spark):
     assert got[1] == "Head 1\nSee 1 the guide 1, x1y1."
 
 
+def test_lists_equal_on_all_pages_go(spark):
+    page = lambda n: f"<div><h1>Head {n}</h1>{''.join(f'<p>p{n}{i}</p>' for i in range(n + 1))}</div><ul><li>Terms</li><li>Imprint</li></ul>"
+    rows = [(n, f"http://a.x/{n}", page(n)) for n in range(3)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == "Head 1\np10\np11"
+
+
+def test_long_pages_and_repeated_groups(spark):
+    rng = random.Random(1)
+    rec = "".join(f"<c{i}>%s</c{i}>" for i in range(40))
+    pages = ["<b>x</b>" + "".join(rec % tuple(f"t{k}{r}{i}" for i in range(40)) for r in range(k)) for k in (2, 3, 5)]
+    w = H.infer(list({H.siblings(H.fold(H.tokens(p)[0])) for p in pages}))
+    assert H.pattern(w).count("+") == 1 and len(H.unfold(w)) == 123  # a record of 120 tokens is one repeated group
+    parts = ["<ul><li><a>x</a></li><li><a>y</a><b>new</b></li><li><a>z</a></li></ul>"]
+    assert H.pattern(H.siblings(H.fold(H.tokens(parts[0])[0]))) == "<ul>(<li><a>#</a>(<b>#</b>)?</li>)+</ul>"
+    long = [[rng.choice(["a", "b", "c", "/a", "/b", H.TEXT]) for _ in range(10000)] for _ in range(2)]
+    w = H.Wrapper(H.infer([H.siblings(H.fold(s)) for s in long]))
+    assert all(w.read(s) is not None for s in long)
+    # hosts of many different streams are aligned in parts
+    rows = [(i, "http://h.x/", "".join(f"<p{rng.randrange(3)}>t{i}{j}</p>" for j in range(i % 7 + 1))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = H.infer_wrappers(df, streams=5).collect()
+    assert len(found) == 1
+    w = H.Wrapper(H._tuples(json.loads(found[0].wrapper)))
+    assert all(w.read(H.tokens(p)[0]) is not None for _, _, p in rows)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_common_items_are_a_longest_common_subsequence(seed):
+    rng = random.Random(seed)
+    a, b = (tuple(rng.choice("abcd") for _ in range(rng.randrange(0, 30))) for _ in range(2))
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+    got = H.common_items(a, b)
+    assert len(got) == table[-1][-1] and all(a[i] == b[j] for i, j in got)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_merge_accepts_both(seed):
     rng = random.Random(seed)
     streams = [[rng.choice(["a", "/a", "b", "p", H.TEXT]) for _ in range(rng.randrange(1, 30))] for _ in range(6)]
-    w = H.Wrapper(H.infer([H.fold(s) for s in streams]))
+    w = H.Wrapper(H.infer([H.siblings(H.fold(s)) for s in streams]))
     assert all(w.read(s) is not None for s in streams)
 
 
@@ -188,12 +333,46 @@ def test_mixing(spark):
     assert mix_sources(df, seed=1).collect() == mix_sources(df, seed=1).collect() and mix_sources(odd(spark).limit(0)).collect() == []
 
 
+def test_line_rules_contents_and_ties(spark):
+    rows = [(i, f"twelve\nown {i} a b c d e f\nten", "h") if i < 10 else (i, f"twelve\nown {i} a b c d e f", "h") for i in range(12)]
+    got = {r.doc_id: r.text for r in line_frequency_rules(docs(spark, *rows), max_docs=10).collect()}
+    assert got == {i: f"own {i} a b c d e f" + ("\nten" if i < 10 else "") for i in range(12)}  # ten documents are at the limit
+    small = line_frequency_rules(docs(spark, *rows), max_docs=10, broadcast_bytes=0)
+    assert {r.doc_id: r.text for r in small.collect()} == got and small.columns == docs(spark).columns
+    before = sorted(map(str, odd(spark).collect()))
+    assert sorted(map(str, line_frequency_rules(odd(spark)).collect())) == before
+
+
+def test_mixing_odd(spark):
+    df = odd(spark).withColumn("copy_no", F.lit("x"))
+    out = mix_sources(df, copy_col="copy_no", total=4 * 10**9)
+    assert dict(out.dtypes)["copy_no"] == "int" and out.columns == df.columns
+    n = {}
+    for r in out.collect():
+        n[str(r.doc_id), r.copy_no] = n.get((str(r.doc_id), r.copy_no), 0) + 1
+    assert all(n[i, c] == k for i, k in (("1", 1), ("2", 1), ("3", 2), ("None", 2), ("5", 1)) for c in (1, 2, 3, 4)) and ("1", 5) not in n
+    assert mix_sources(df.limit(0), copy_col="copy_no").collect() == []
+
+
 def test_exact(spark):
     got = exact_dedup(odd(spark))
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "3", "4", "5", "6"]
     assert exact_dedup(odd(spark), broadcast_bytes=0).count() == 6 and exact_dedup(odd(spark).limit(0)).collect() == []
 
 
+def test_chat_odd(spark):
+    rows = [(1, 1 << 40, "user", "big\nturn", "x"), (1, (1 << 40) + 1, "assistant", "", "x"), (1, 3, None, None, "x"), (2, None, "user", "t", "x"), (None, 1, "user", "t", "x"), (1, 3, None, None, "x")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, seq string")
+    got = chat.format_chat(chat.stream_events(df)).collect()
+    assert [(r.conv_id, r.n_messages) for r in got] == [(1, 3)]
+    assert got[0].text == "<|im_start|>unknown\n<|im_end|>\n<|im_start|>user\nbig\nturn<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    log = [("c", "1", "message", "a", "user", "x", 0), ("c", "2", "message", "b", "user", "y", 0), ("c", "3", "regenerate", "a", "user", None, 0), ("c", "4", "delta", "a", "user", "z", 0)]
+    events = spark.createDataFrame(log, "conv_id string, seq string, kind string, msg string, role string, text string, n_messages int")
+    assert [(r.msg, r.text) for r in chat.fold_events(events).collect()] == [("a", "z")]
+    kinds = {r.kind for r in chat.stream_events(df).collect()}
+    assert kinds == set(chat.KINDS)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_chat_fold(spark, seed):
     rng = random.Random(seed)
@@ -221,10 +400,34 @@ def test_chat_fold(spark, seed):
 def test_token_store(spark):
     df = docs(spark, *[(i, f"some text {i} " * 20, "s") for i in range(60)]).unionByName(odd(spark))
     index = K.write_tokens(df)
-    tokenizer = K.tokenizer(K.MODEL)
-    got = sorted(str((r.doc_id, r.token_ids)) for r in K.read_tokens(index).collect())
-    assert got == sorted(str((r.doc_id, None if r.text is None else tokenizer.encode(r.text))) for r in df.collect())
+    t = bpe.transducer(bpe.VOCABULARY, bpe.WINDOW)
+    wanted = sorted(str((r.doc_id, None if r.text is None else t.core.encode_ordinary(r.text))) for r in df.collect())
+    assert sorted(str((r.doc_id, r.token_ids)) for r in K.read_tokens(index).collect()) == wanted
     assert K.read_tokens(index.where("doc_id = 7")).count() == 1 and K.write_tokens(df.limit(0)).collect() == []
+    # the frames by zstandard alone
+    rows, got = index.collect(), []
+    for r in rows:
+        folder = r.root.removeprefix("file:")
+        raw = open(f"{folder}/{r.dict_hash}.dict", "rb").read()
+        assert hashlib.sha256(raw).hexdigest() == r.dict_hash
+        if r.shard:
+            with open(f"{folder}/{r.shard}", "rb") as f:
+                f.seek(r.offset)
+                frame = f.read(r.length)
+            ids = np.frombuffer(zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)).decompress(frame), "<u2").tolist()
+            assert len(ids) == r.n_tokens
+        got.append(str((r.doc_id, ids if r.shard else None)))
+    assert sorted(got) == wanted and len({r.dict_hash for r in rows}) == 1
+
+
+def test_dictionary_is_of_all_rows(spark):
+    rng = random.Random(1)
+    phrase = [bytes(rng.randrange(256) for _ in range(200)) for _ in range(8)]
+    rows = [(b"".join(rng.choice(phrase) for _ in range(20)) + bytes(rng.randrange(256) for _ in range(50)),) for _ in range(400)]
+    raw = K.dictionary_of_all(spark.createDataFrame(rows, "ids binary").repartition(5), 1 << 13, chunk_bytes=1 << 16, fan_in=3)
+    assert 0 < len(raw) <= 1 << 13
+    with_it, without = (sum(len(zstandard.ZstdCompressor(level=3, **o).compress(x)) for (x,) in rows) for o in ({"dict_data": zstandard.ZstdCompressionDict(raw)}, {}))
+    assert with_it < 0.5 * without
 
 
 # 9
@@ -371,10 +574,44 @@ def test_align_many_at_once():
 # Pipeline
 
 
-def test_pipeline(spark):
-    docs_ = spark.read.parquet(f"{DIR}/documents.parquet")
-    out = corpus_pipeline.run(spark, DIR)
-    source = {r.doc_id: r.text for r in docs_.collect()}
-    rows = out.collect()
-    assert rows and all(source[r.doc_id] == r.text for r in rows)
+def test_pipeline_against_brute_force(spark):
+    """Each stage, written and read again, against a plain version of it."""
+    every = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     assert len(corpus_pipeline.STAGES) == 5
+    text_of = {r.doc_id: r.text for r in every}
+    known = sorted(i for i in labels if i in text_of)
+    m = SubwordClassifier().fit([text_of[i] for i in known], [labels[i] for i in known])
+    now = [r for r in every if m.probabilities([r.text])[0, 1] >= 0.5]
+    assert 0 < len(now) < len(every)
+    first = {}
+    for r in sorted(now, key=lambda r: r.doc_id):
+        first.setdefault(r.text, r)
+    now = list(first.values())
+    group = {r.doc_id: r.doc_id for r in now}
+    for a, b in near_brute([(r.doc_id, r.text, "s") for r in now]):
+        low, high = sorted((group[a], group[b]))
+        group = {i: low if g == high else g for i, g in group.items()}
+    now = [r for r in now if group[r.doc_id] == r.doc_id]
+    sizes = {}
+    for r in now:
+        sizes[r.source] = sizes.get(r.source, 0) + len(r.text)
+    epochs = {s: round(e, 9) for s, e in water_fill(sizes, dict.fromkeys(sizes, 1.0), sum(sizes.values()), 4.0).items()}
+    draw = lambda i: int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:12], 16) / (1 << 48)
+    t = bpe.transducer(bpe.VOCABULARY, bpe.WINDOW)
+    wanted = [str((r.doc_id, r.text, t.core.encode_ordinary(r.text))) for r in now for _ in range(int(epochs[r.source]) + (draw(r.doc_id) < epochs[r.source] % 1))]
+    got = corpus_pipeline.run(spark, DIR).collect()
+    assert sorted(str((r.doc_id, r.text, r.token_ids)) for r in got) == sorted(wanted)
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for df, n in ((odd(spark), 7), (odd(spark).limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            df = stage(spark, df, str(tmp_path))
+            assert df.columns == odd(spark).columns
+        ids = sorted(str(r.doc_id) for r in df.collect())
+        assert ids == (["1", "2", "3", "5", "6"] if n else [])
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            df = stage(spark, df, str(tmp_path))
+        assert {r.doc_id for r in df.collect()} <= {1, 2, 3, 5, 6}
