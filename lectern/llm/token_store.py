@@ -3,31 +3,31 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lectern.llm.bpe import VOCABULARY, WINDOW, load_ranks, transducer
 from lectern.session import materialize, scratch_root
 
-#: A public tokenizer's model; every executor must see the file.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Serialized ids from which one partial dictionary is trained, and partial dictionaries that are merged at a time.
+CHUNK_BYTES = 8 << 20
+FAN_IN = 64
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-def pack(ids: np.ndarray | list[int], width: int) -> bytes:
+def pack(ids: list[int], width: int) -> bytes:
     """Little-endian unsigned ids of ``width`` bytes (2 or 4)."""
-    return np.asarray(ids, dtype=np.int64).astype(f"<u{width}").tobytes()
+    out = array("H" if width == 2 else "I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def unpack(raw: bytes, width: int) -> np.ndarray:
@@ -38,11 +38,46 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """A zstandard dictionary of at most ``size`` bytes; a raw-content one where training lacks data."""
     samples = [s for s in samples if s]
     try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=8, f=18, accel=4, level=3).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
 
+def dictionary_of_all(tokens: DataFrame, size: int, chunk_bytes: int = CHUNK_BYTES, fan_in: int = FAN_IN) -> bytes:
+    """One dictionary from the serialized ids (column ``ids``) of all rows.
+
+    Each task trains a partial dictionary for every ``chunk_bytes`` of its ids; ``fan_in`` of them at a
+    time are then cut into pieces that serve as samples for the next, until one is left. What a
+    task holds is bounded, and only the last dictionary comes to the driver. Arrays longer than a chunk
+    are taken in several pieces.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([train_dictionary(held, size)], pa.binary())], ["raw"])
+        for batch in batches:
+            for x in batch.column(0):
+                x = x.as_py() or b""
+                for i in range(0, len(x), 1 << 17):
+                    held.append(x[i : i + (1 << 17)])
+                    total += len(held[-1])
+                    if total >= chunk_bytes:
+                        yield out()
+                        held, total = [], 0
+        if total:
+            yield out()
+
+    def merged(key, table):
+        samples = [raw[i : i + 1024] for raw in sorted(table.column("raw").to_pylist()) for i in range(0, len(raw), 1024)]
+        return pa.table({"raw": pa.array([train_dictionary(samples, size)], pa.binary())})
+
+    level = materialize(tokens.select("ids").mapInArrow(partial, "raw binary"), "partial-dictionaries")
+    while (n := level.count()) > 1:
+        key = F.pmod(F.xxhash64("raw"), F.lit(-(-n // fan_in))).alias("part")
+        level = materialize(level.withColumn("part", key).groupBy("part").applyInArrow(merged, "raw binary"), "partial-dictionaries")
+    return level.head()[0] if n else b""
+
+
 def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
@@ -50,8 +85,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_tokens(
     docs: DataFrame,
     root: str | None = None,
-    model: str = MODEL,
-    sample: int = 2000,
+    vocabulary: str = VOCABULARY,
     dictionary_bytes: int = 1 << 16,
     level: int = 3,
     text_col: str = "text",
@@ -59,25 +93,32 @@ def write_tokens(
 ) -> DataFrame:
     """Write every document's ids below ``root``; the index ``(doc_id, shard, offset, length, n_tokens, width, dict_hash)``.
 
-    The dictionary is trained on the serialized ids of at most ``sample`` documents, those
-    with the smallest hash of id and text, as training holds its samples on the driver;
-    it lies beside the shards under its SHA-256, which every row names. Every task writes one shard under a new name, so that a
+    Texts are encoded once and their serialized ids written to a scratch table; the dictionary is trained on
+    all of them (``dictionary_of_all``) and lies beside the shards under its SHA-256, which every row names.
+    Every task writes one shard under a new name, so that a
     task run twice leaves an unused file but no wrong row. The index is written, too, and
     read back: the shards are made once. ``root`` must be a folder that all executors
     share; the default lies in ``spark.checkpoint.dir``.
 
     Null texts have a row with nothing but the id, dictionary and width; empty texts have
-    a frame of no ids. Ids may be null or repeated: each row has its own frame. Other
-    columns are ignored. An empty table gives an empty index.
+    a frame of no ids. Ids may be null or repeated: each row has its own frame. Long texts are encoded window by
+    window and are one frame. Other columns are ignored, whatever their names. An empty table gives an empty index.
     """
-    spark = docs.sparkSession
-    root = root or f"{scratch_root(spark)}/lectern-tokens-{uuid.uuid4().hex}"
-    width = 2 if tokenizer(model).get_piece_size() <= 1 << 16 else 4
-    some = docs.select(F.col(text_col), F.xxhash64(id_col, text_col).alias("__ts_h"))
-    share = min(1.0, 2.0 * sample / max(1, docs.count()))  # tasks send about two samples' texts in all, whatever their number
-    some = some.where((F.length(text_col) > 0) & (F.col("__ts_h") <= F.lit(int(-(2.0**63) + share * (2.0**64 - 4096)))))
-    few = some.orderBy("__ts_h", text_col).limit(sample).select(text_col).collect()
-    raw = train_dictionary([pack(x, width) for x in tokenizer(model).encode([r[0] for r in few], num_threads=1)] if few else [], dictionary_bytes)
+    root = root or f"{scratch_root(docs.sparkSession)}/lectern-tokens-{uuid.uuid4().hex}"
+    width = 2 if max(load_ranks(vocabulary).values()) < 1 << 16 else 4
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = source.schema["id"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(vocabulary, WINDOW)
+        for whole in batches:
+            for n in range(0, whole.num_rows, 512):
+                batch = whole.slice(n, 512)
+                raw = [None if x is None else pack(t.encode(x), width) for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["id", "ids"])
+
+    tokens = materialize(source.mapInArrow(encode, T.StructType([kind, T.StructField("ids", T.BinaryType())])), "token-ids")
+    raw = dictionary_of_all(tokens, dictionary_bytes)
     digest = hashlib.sha256(raw).hexdigest()
     target, base = fs.FileSystem.from_uri(root)
     target.create_dir(base, recursive=True)
@@ -85,28 +126,24 @@ def write_tokens(
         f.write(raw)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, out = tokenizer(model), None
         target, base = fs.FileSystem.from_uri(root)
-        shared = _dictionary(raw)
+        shared, out = _dictionary(raw), None
         press = zstandard.ZstdCompressor(level=level, dict_data=shared) if shared else zstandard.ZstdCompressor(level=level)
         name, offset = f"{uuid.uuid4().hex}.tokens", 0
         try:
             for whole in batches:
-                for n in range(0, whole.num_rows, 256):
-                    batch = whole.slice(n, 256)
-                    texts = batch.column(1).to_pylist()
-                    ids = iter(sp.encode([t for t in texts if t is not None], num_threads=1))
+                for n in range(0, whole.num_rows, 512):
+                    batch = whole.slice(n, 512)
                     rows = []
-                    for t in texts:
-                        if t is None:
+                    for ids in batch.column(1).to_pylist():
+                        if ids is None:
                             rows.append((None, None, None, None, width, digest))
                             continue
-                        one = next(ids)
-                        frame = press.compress(pack(one, width))
+                        frame = press.compress(ids)
                         if out is None:
                             out = target.open_output_stream(f"{base}/{name}", compression=None)
                         out.write(frame)
-                        rows.append((name, offset, len(frame), len(one), width, digest))
+                        rows.append((name, offset, len(frame), len(ids) // width, width, digest))
                         offset += len(frame)
                     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
                     yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
@@ -114,10 +151,9 @@ def write_tokens(
             if out is not None:
                 out.close()
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     names = [id_col, "shard", "offset", "length", "n_tokens", "width", "dict_hash"]
-    kinds = [source.schema["id"].dataType, T.StringType(), T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.StringType()]
-    index = source.mapInArrow(write, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
+    kinds = [kind.dataType, T.StringType(), T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.StringType()]
+    index = tokens.mapInArrow(write, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)]))
     return materialize(index, "token-index").withColumn("root", F.lit(root))
 
 
