@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lectern import fixtures as X
 from lectern.functions import identifiers as I, text as S
-from lectern.operators import cache, graph, layout, markdown as M, relational as R, render, translation as TR
+from lectern.operators import cache, citations, graph, layout, markdown as M, relational as R, render, translation as TR
 from lectern.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,10 +236,10 @@ def captions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", fig["label"].alias("figure"), fig["description"].alias("about"), tab["label"].alias("table_label"))
 
 
-@query("SELECT o_orderkey, 'figure ' || (o_orderkey % 90) || ',table s3,figure 2b' AS labels, array_to_string(list_transform(list_distinct(list_concat([(o_orderkey % 50)::INT], range((o_orderkey % 20)::INT, (o_orderkey % 20)::INT + 4))), lambda x: x::VARCHAR), ',') IS NOT NULL AS ok FROM orders")
+@query("SELECT o_orderkey, 'figure ' || (o_orderkey % 90) || ',table s3,figure 2b' AS labels FROM orders")
 def label_mentions(spark, d):
     t = F.concat(F.lit("See Fig. "), F.col("o_orderkey") % 90, F.lit(", Table  S3 and figure 2b; configure 4."))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(M.label_references(t), ",").alias("labels"), F.lit(True).alias("ok"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(M.label_references(t), ",").alias("labels"))
 
 
 @query("""SELECT o_orderkey, x AS number FROM (SELECT o_orderkey, unnest(list_distinct(list_concat([(o_orderkey % 50)::INT], list_transform(range(0, 4), lambda i: ((o_orderkey % 20) + i)::INT)))) AS x FROM orders)""")
@@ -260,7 +260,7 @@ def reference_list(spark, d):
     one = F.concat(F.lit("["), "l_linenumber", F.lit("] Part "), "l_partkey", F.lit(", 19"), F.col("l_suppkey") % 90 + 10, F.lit(".\n   more"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", one.alias("r")))), lambda x: x["r"])
     docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit("# T\n\n[9] in text\n\n## References\n\n"), F.array_join(items, "\n"), F.lit("\n\n# Appendix\n[99] no")).alias("text"))
-    return M.references(docs)
+    return citations.references(docs).select("doc_id", "number", "reference")
 
 
 @query(r"""WITH b AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, rtrim(unnest(string_split(text, chr(10)))) AS block FROM documents),
@@ -291,10 +291,11 @@ def fence_blocked_lines(spark, d):
     return M.blocked_lines(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text"))).select("doc_id", F.col("n").cast("bigint").alias("n"), "blocked")
 
 
-@query("SELECT doc_id, text FROM documents")
+@query("""SELECT o_orderkey, 'see ⟦0⟧ and ⟦1⟧, ' || o_orderstatus || ' ⟦2⟧ ⟦3⟧' AS protected, 'see `a' || o_orderkey || '` and ![x](u), ' || o_orderstatus || ' $k$ [1, ' || (o_orderkey % 9) || ']' AS restored FROM orders""")
 def placeholder_round_trip(spark, d):
-    p = M.protect(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", p.alias("p")).select("doc_id", M.restore(F.col("p.text"), F.col("p.parts")).alias("text"))
+    t = F.concat(F.lit("see `a"), "o_orderkey", F.lit("` and ![x](u), "), "o_orderstatus", F.lit(" $k$ [1, "), F.col("o_orderkey") % 9, F.lit("]"))
+    p = table(spark, d, "orders").select("o_orderkey", M.protect(t).alias("p"))
+    return p.select("o_orderkey", F.col("p.text").alias("protected"), M.restore(F.col("p.text"), F.col("p.parts")).alias("restored"))
 
 
 # Layout
@@ -422,10 +423,10 @@ def cache_stats(spark, d):
     return cache.stats(_entries(spark, d), "size")
 
 
-@query(f"SELECT event_id, floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(ts)) > CASE WHEN value > 50 THEN 2592000 ELSE 604800 END AS stale FROM events WHERE value IS NOT NULL")
+@query(f"SELECT event_id, floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(ts)) > CASE WHEN value > 50 THEN 2592000 ELSE 604800 END AS stale FROM events")
 def cache_staleness(spark, d):
-    e = table(spark, d, "events").where("value is not null")
-    return e.select("event_id", cache.stale(F.col("ts"), F.col("value") > 50, F.lit(NOW).cast("timestamp")).alias("stale"))
+    e = table(spark, d, "events")
+    return e.select("event_id", cache.stale(F.col("ts"), F.coalesce(F.col("value") > 50, F.lit(False)), F.lit(NOW).cast("timestamp")).alias("stale"))
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
@@ -461,3 +462,6 @@ def plain_text_render(spark, d):
 @query("SELECT conv_id AS doc_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def structured_render(spark, d):
     return render.transcript(table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id"), "doc_id", "turn", "role", "text")
+
+
+from lectern import catalog_documents  # noqa: E402, F401  (registers its queries)

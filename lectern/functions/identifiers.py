@@ -70,16 +70,32 @@ def pdf_url(text: Column) -> Column:
 
 
 def is_public_url(u: Column) -> Column:
-    """http(s) to a host that is neither local nor in a private, loopback or link-local IPv4 range."""
-    host = F.lower(F.regexp_extract(u, r"(?i)\Ahttps?://([^/?#:@]+)(?::[0-9]+)?(?:[/?#]|\z)", 1))
-    private = r"\A(localhost|.*\.localhost|.*\.local|.*\.internal|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)\z"
-    return F.coalesce((host != "") & host.contains(".") & ~host.rlike(private), F.lit(False))
+    """http(s) without user to a host that is neither local nor in a private, shared, loopback or link-local range of IPv4 or IPv6."""
+    host = F.lower(F.regexp_extract(u, r"(?i)\Ahttps?://(\[[0-9a-f:.]+\]|[^/?#:@\[\]\s]+)(?::[0-9]+)?(?:[/?#]|\z)", 1))
+    host = F.regexp_replace(host, r"[\[\]]", "")
+    octets = F.transform(F.split(host, r"\."), lambda x: F.when(x.rlike(r"\A[0-9]{1,9}\z"), x.cast("int")))
+    four = (F.size(octets) == 4) & F.forall(octets, lambda x: x.isNotNull() & (x <= 255))
+    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
+    inner = a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+    local = host.rlike(r"\A(?:localhost|.*\.(?:localhost|local|internal|home\.arpa))\z")
+    six = host.rlike(r"\A(?:::1?\z|f[cd]|fe[89ab]|::ffff:(?:0:)?(?:127\.|10\.|192\.168\.))")
+    return F.coalesce((host != "") & ~local & F.when(four, ~inner).when(host.contains(":"), ~six).otherwise(True) & (F.length(u) <= 4096), F.lit(False))
 
 
-def safe_link(u: Column) -> Column:
-    """The link without control characters if it is http(s) or a fragment, else ''."""
+def public_url(u: Column) -> Column:
+    """A public link without its fragment, else ''."""
+    return F.when(is_public_url(u), F.regexp_replace(u, r"#.*\z", "")).otherwise("")
+
+
+def safe_link(u: Column, schemes: str = "https?") -> Column:
+    """The link without control characters if it has one of the schemes or is a fragment, else ''."""
     x = F.regexp_replace(F.coalesce(u, F.lit("")), r"[\x00-\x1F\x7F]", "")
-    return F.when(x.rlike(r"(?i)\A(https?://|#)"), x).otherwise("")
+    return F.when(x.rlike(rf"(?i)\A(?:(?:{schemes})://|#)"), x).otherwise("")
+
+
+def scope_key(profile: Column, ids: Column) -> Column:
+    """Cache key of a set of identifiers, in whatever order they come."""
+    return cache_key(profile, F.array_join(F.array_sort(F.array_distinct(ids)), "\n"))
 
 
 def cache_key(*parts: Column) -> Column:

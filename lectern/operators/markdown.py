@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lectern.functions.text import chain, squash, word_count
@@ -15,11 +17,29 @@ REFERENCE_HEADING = r"(?i)\A(#{1,6}[ \t]+)?[*_]{0,2}(references?|bibliography|(w
 
 
 def lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, n, offset, line)``: lines without their ends, numbered from 0, with character offsets."""
-    parts = F.split(F.col(text), "\n")
-    offsets = F.aggregate(parts, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    rows = docs.select(doc, F.posexplode(F.arrays_zip(parts.alias("line"), F.slice(offsets, 1, F.size(parts)).alias("offset"))).alias("n", "x"))
-    return rows.select(doc, "n", F.col("x.offset").alias("offset"), F.col("x.line").alias("line"))
+    """``(doc, n, offset, line, ending)``: lines without their ends, numbered from 0, with character offsets. Null texts give none."""
+    source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    ints = [T.StructField(n, T.IntegerType()) for n in ("n", "offset")]
+    schema = T.StructType([T.StructField(doc, source.schema["doc"].dataType), *ints, T.StructField("line", T.StringType()), T.StructField("ending", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, n, offset, line, ending = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                if t is None:
+                    continue
+                at, parts = 0, t.split("\n")
+                for k, x in enumerate(parts):
+                    bare = x[:-1] if x.endswith("\r") else x
+                    of.append(i)
+                    n.append(k)
+                    offset.append(at)
+                    line.append(bare)
+                    ending.append((x + "\n")[len(bare) :] if k + 1 < len(parts) else x[len(bare) :])
+                    at += len(x) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(n, pa.int32()), pa.array(offset, pa.int32()), pa.array(line, pa.string()), pa.array(ending, pa.string())], schema.names)
+
+    return source.mapInArrow(cut, schema)
 
 
 def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,13 +49,12 @@ def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
 
 
 def headings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, offset, level, title)`` of ATX headings outside fences."""
-    rows = lines(docs, doc, text)
-    fence = F.col("line").rlike(r"\A {0,3}(```|~~~)")
-    inside = islands(rows.withColumn("__f", fence), [doc], ["n"], F.col("__f"), "__open")
-    head = inside.where((F.col("__open") % 2 == 0) & F.col("line").rlike(HEADING))
-    title = visible_heading(F.regexp_extract("line", HEADING, 2))
-    return head.select(doc, "offset", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), title.alias("title")).where("title <> ''")
+    """``(doc, offset, level, title)`` of ATX and Setext headings outside of code."""
+    rows = blocks(docs, doc, text).where("type = 'heading'")
+    atx = F.col("markdown").rlike(r"\A {0,3}#")
+    level = F.when(atx, F.length(F.regexp_extract("markdown", r"\A {0,3}(#{1,6})", 1))).when(F.col("markdown").rlike(r"\n {0,3}=+[ \t]*\z"), 1).otherwise(2)
+    bare = F.when(atx, F.regexp_extract("markdown", HEADING, 2)).otherwise(F.regexp_replace("markdown", r"\n {0,3}(=+|-+)[ \t]*\z", ""))
+    return rows.select(doc, F.col("begin").alias("offset"), level.cast("int").alias("level"), visible_heading(bare).alias("title")).where("title <> ''")
 
 
 def visible_heading(c: Column) -> Column:
@@ -96,19 +115,6 @@ def label_references(c: Column) -> Column:
     return F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\Afig\.", "figure"), r"[ \t]+", " "))
 
 
-def references(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, number, reference)``: numbered items below the last reference heading."""
-    rows = lines(docs, doc, text)
-    everything = Window.partitionBy(doc)
-    rows = rows.withColumn("__from", F.max(F.when(F.col("line").rlike(REFERENCE_HEADING), F.col("n"))).over(everything)).where("n > __from")
-    rows = rows.withColumn("__stop", F.min(F.when(F.col("line").rlike(HEADING), F.col("n"))).over(everything)).where("__stop is null or n < __stop")
-    mark = r"\A\s*(?:\[([0-9]+)\]|([0-9]+)[.)])[ \t]+"
-    rows = rows.withColumn("__m", F.nullif(F.concat(F.regexp_extract("line", mark, 1), F.regexp_extract("line", mark, 2)), F.lit("")))
-    rows = islands(rows, [doc], ["n"], F.col("__m").isNotNull(), "__item").where("__item > 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("line", mark, "").alias("l")))), lambda x: x["l"]), " ")
-    return rows.groupBy(doc, "__item").agg(F.max("__m").cast("int").alias("number"), squash(body).alias("reference")).drop("__item")
-
-
 def numeric_citations(c: Column, limit: int = 100) -> Column:
     """Numbers cited in square brackets, ranges written out (spans above ``limit`` are ignored)."""
     lists = F.regexp_extract_all(c, F.lit(r"\[([0-9]+(?:\s*[,–-]\s*[0-9]+)*)\]"), 1)

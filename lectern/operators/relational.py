@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def unique_keys(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -60,15 +61,26 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], begin: str, end: str) ->
     return runs.groupBy(*keys, "__run").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.count("*").alias("n")).drop("__run")
 
 
+def fold_groups(df: DataFrame, key: str, order: Sequence[str], begin: str, end: str) -> DataFrame:
+    """Rows of each group in order, without those that begin before the last kept one ends. Linear in the rows."""
+    schema, names = df.schema, df.columns
+
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        kept, reach = [], None
+        for n, (b, e) in enumerate(zip(table.column(begin).to_pylist(), table.column(end).to_pylist())):
+            if reach is None or b >= reach:
+                kept.append(n)
+                reach = e
+        return table.take(pa.array(kept, pa.int64())).select(names)
+
+    return df.groupBy(key).applyInArrow(keep, schema)
+
+
 def greedy_intervals(df: DataFrame, keys: Sequence[str], begin: str, end: str) -> DataFrame:
     """Intervals taken in order of begin, then end; one that overlaps the last taken is skipped."""
-    item = F.struct(F.col(begin).alias("b"), F.col(end).alias("e"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.array().cast("array<struct<b:bigint,e:bigint>>"),
-        lambda kept, x: F.when((F.size(kept) == 0) | (F.element_at(kept, -1)["e"] <= x["b"]), F.concat(kept, F.array(F.struct(x["b"].cast("bigint").alias("b"), x["e"].cast("bigint").alias("e"))))).otherwise(kept),
-    )
-    return df.groupBy(*keys).agg(folded.alias("__k")).select(*keys, F.explode("__k").alias("x")).select(*keys, F.col("x.b").alias(begin), F.col("x.e").alias(end))
+    rows = df.select(F.struct(*keys).alias("__g"), F.col(begin).cast("bigint").alias(begin), F.col(end).cast("bigint").alias(end))
+    return fold_groups(rows, "__g", [begin, end], begin, end).select("__g.*", begin, end)
 
 
 def lru_keep(df: DataFrame, at: str, size: str, key: str, max_entries: int, max_bytes: int, scope: Sequence[str] = ()) -> DataFrame:
@@ -97,19 +109,19 @@ def greedy_batches(df: DataFrame, keys: Sequence[str], order: str, tokens: str,
     A batch that isn't empty is closed before an item that counts and would be one too many,
     or that would exceed the tokens. Batches without a counted item are dropped and take no number.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(tokens).cast("bigint").alias("t"), F.col(counted).alias("c"))
-    zero = F.struct(F.lit(1).alias("b"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("s"), F.array().cast("array<struct<o:bigint,b:int,c:boolean>>").alias("out"))
-
-    def put(a, x):
-        full = (a["n"] > 0) & ((x["c"] & (a["k"] >= max_items)) | (a["s"] + x["t"] > max_tokens))
-        b = F.when(full, a["b"] + 1).otherwise(a["b"])
-        return F.struct(
-            b.alias("b"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"),
-            (F.when(full, 0).otherwise(a["k"]) + x["c"].cast("int")).alias("k"), (F.when(full, F.lit(0).cast("bigint")).otherwise(a["s"]) + x["t"]).alias("s"),
-            F.concat(a["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), b.cast("int").alias("b"), x["c"].alias("c")))).alias("out"),
-        )
-
-    packed = df.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(item)), zero, put, lambda a: a["out"]).alias("__o")).select(*keys, F.explode("__o").alias("x"))
-    packed = packed.select(*keys, F.col("x.o").alias(order), F.col("x.b").alias("__b"), F.col("x.c").alias("__c"))
+    rows = df.select(F.struct(*keys).alias("__g"), F.col(order), F.col(tokens).cast("bigint").alias("__t"), F.col(counted).alias("__c"))
+    schema = T.StructType([rows.schema["__g"], rows.schema[order], T.StructField("__b", T.IntegerType()), rows.schema["__c"]])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending")])
+        out, b, n, k, s = [], 1, 0, 0, 0
+        for t, c in zip(table.column("__t").to_pylist(), table.column("__c").to_pylist()):
+            if n and ((c and k >= max_items) or s + t > max_tokens):
+                b, n, k, s = b + 1, 0, 0, 0
+            n, k, s = n + 1, k + bool(c), s + t
+            out.append(b)
+        return pa.table({"__g": table.column("__g"), order: table.column(order), "__b": pa.array(out, pa.int32()), "__c": table.column("__c")})
+
+    packed = rows.groupBy("__g").applyInArrow(pack, schema).select("__g.*", order, "__b", "__c")
     packed = packed.withColumn("__any", F.max(F.col("__c").cast("int")).over(Window.partitionBy(*keys, "__b"))).where("__any = 1")
     return packed.withColumn("batch", F.dense_rank().over(Window.partitionBy(*keys).orderBy("__b")).cast("bigint")).drop("__b", "__c", "__any")

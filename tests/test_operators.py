@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import catalog
 from lectern.functions import identifiers as I, text as S
-from lectern.operators import cache, graph, markdown as M, relational as R, render
+from lectern.operators import cache, citations as C, figures as G, graph, markdown as M, relational as R, render
 from lectern.sources.archive import content_blocks, open_archive, read_archives
 from lectern.streaming.latest import newest_version, upsert_latest
 
@@ -65,7 +65,7 @@ def test_lru_equals_eviction(spark, seed):
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
-    for f in (M.lines, M.paragraphs, M.headings, M.gfm_tables, M.references, M.blocks, M.blocked_lines, M.author_year_citations):
+    for f in (M.lines, M.paragraphs, M.headings, M.gfm_tables, C.references, C.citations, G.figures, G.labelled_links, M.blocks, M.blocked_lines, M.author_year_citations):
         assert f(docs).collect() == []
 
 
@@ -101,14 +101,14 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(good, "w") as z:
         z.writestr("x/full.md", "# T")
         z.writestr("x/a_content_list.json", blocks)
-        z.writestr("x/a_v2_content_list.json", "[]")
+        z.writestr("x/a_content_list_v2.json", "[]")
         z.writestr("x/i.png", b"1")
     (tmp_path / "a.zip").write_bytes(good.getvalue())
     (tmp_path / "b.zip").write_bytes(b"no zip")
     found = {r.path.rsplit("/", 1)[-1]: r for r in read_archives(spark, str(tmp_path)).collect()}
     assert found["a.zip"].markdown == "# T" and found["a.zip"].images == ["x/i.png"] and found["b.zip"].error
     assert [(r.type, r.text, r.captions) for r in content_blocks(read_archives(spark, str(tmp_path))).orderBy("ordinal").collect()] == [("image", "", ["c"]), ("list", "a\nb", [])]
-    assert open_archive(good.getvalue(), max_bytes=2)["error"] == "too large"
+    assert open_archive(good.getvalue(), max_markdown=2)["error"] == "too large"
 
 
 def test_stream_equals_batch(spark, tmp_path):
