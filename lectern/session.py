@@ -30,6 +30,25 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded for whole texts.
+
+    The defaults (10,000 rows, 64 MB) are made for narrow rows: with texts, each side of a Python operator holds
+    several such batches, outside of the heap. Settings that are lower already stay.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    held = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m").lower().removesuffix("b")
+    if held[-1:] in "mg" or int(held) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 

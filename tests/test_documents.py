@@ -55,7 +55,7 @@ def test_reference_sections(spark):
 
 def test_citation_styles(spark):
     refs = "\n\n# References\n\n" + "\n".join(f"[{i}] Name{i} A. Title. 200{i}." for i in range(1, 8))
-    one = docs(spark, "x (3), <sup>4</sup>, $^{5}$, [6]" + refs, "[1] and [2] but (3)" + refs, "(1) then (2)⁷" + refs, "first (1) a, (2) b, and (3) c [4]" + refs, "10² and m³ and F [1, 2] = 3, 5 (1-2)" + refs, "Name3 et al. (2003); (see Name1, 2001, 2002)" + refs)
+    one = docs(spark, "x (3), <sup>4</sup>, $^{5}$, [6]" + refs, "[1] and [2] but (3)" + refs, "(1) x. Then (2)⁷" + refs, "first (1) a, (2) b, and (3) c [4]" + refs, "10² and m³ and F [1, 2] = 3, 5 (1-2)" + refs, "Name3 et al. (2003); (see Name1, 2001, 2002)" + refs)
     links = C.numeric_links(C.mentions(one), C.references(one))
     got = {}
     for r in links.collect():
