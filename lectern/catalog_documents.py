@@ -10,7 +10,7 @@ from lectern import fixtures as X
 from lectern.catalog import query
 from lectern.functions import records as R
 from lectern.functions.text import squash
-from lectern.operators import anchors, cache, citations as C, figures as G, graph, sourcemap as SM, translation as TR
+from lectern.operators import anchors, cache, citations as C, figures as G, flow, graph, sourcemap as SM, translation as TR
 from lectern.session import scratch_root, table
 from lectern.sources import archive, providers as P, store
 
@@ -274,6 +274,19 @@ def algorithm_wrappers(spark, d):
     return G.rewrite(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), t.alias("text")), G.without_algorithm_wrappers)
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Alpha left words ' || o_orderkey || chr(10) || chr(10) || 'Gamma left words again.' || chr(10) || chr(10) || 'Beta right words here.' ELSE 'Alpha left words ' || o_orderkey || chr(10) || chr(10) || 'Beta right words here.' || chr(10) || chr(10) || 'Gamma left words again.' END AS markdown FROM orders""")
+def converted_documents(spark, d):
+    """Two columns on a page (even keys), one below the other else."""
+    k = F.col("o_orderkey")
+    parts = [cat("Alpha left words ", k), L("Beta right words here."), L("Gamma left words again.")]
+    o = table(spark, d, "orders").select(k.alias("doc_id"), k)
+    box = lambda x0, y0: F.array(*[F.lit(float(v)) for v in (x0, y0, x0 + 350, y0 + 40)])
+    even = k % 2 == 0
+    places = [box(10, 10), F.when(even, box(500, 10)).otherwise(box(10, 60)), F.when(even, box(10, 60)).otherwise(box(10, 110))]
+    rows = F.array(*[F.struct(L(i).alias("ordinal"), L("text").alias("type"), t.alias("text"), L(None).cast("string").alias("asset_path"), L(0).alias("page_index"), b.alias("bbox")) for i, (t, b) in enumerate(zip(parts, places))])
+    return flow.prepared(o.select("doc_id", F.concat_ws("\n\n", *parts).alias("markdown"), L(False).alias("edited")), o.select("doc_id", F.inline(rows)))
+
+
 # Anchors
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers as I, records as R
-from lectern.operators import anchors as A, cache, citations as C, figures as G, graph, markdown as M, relational as REL, sourcemap as S, translation as TR
+from lectern.operators import affiliations as FM, anchors as A, cache, citations as C, figures as G, flow as W, graph, markdown as M, relational as REL, sourcemap as S, translation as TR
 from lectern.sources import providers as P, store
 from lectern.sources.archive import is_stable_list, open_archive
 
@@ -54,8 +54,8 @@ def test_reference_sections(spark):
 
 
 def test_citation_styles(spark):
-    refs = "\n\n# References\n\n" + "\n".join(f"[{i}] Name{i} A. Title. 200{i}." for i in range(1, 8))
-    one = docs(spark, "x (3), <sup>4</sup>, $^{5}$, [6]" + refs, "[1] and [2] but (3)" + refs, "(1) x. Then (2)⁷" + refs, "first (1) a, (2) b, and (3) c [4]" + refs, "10² and m³ and F [1, 2] = 3, 5 (1-2)" + refs, "Name3 et al. (2003); (see Name1, 2001, 2002)" + refs)
+    refs = "\n\n# References\n\n" + "\n".join(f"[{i}] Name{'xabcdefg'[i]}, A. Title. 200{i}." for i in range(1, 8))
+    one = docs(spark, "x (3), <sup>4</sup>, $^{5}$, [6]" + refs, "[1] and [2] but (3)" + refs, "(1) x. Then (2)⁷" + refs, "first (1) a, (2) b, and (3) c [4]" + refs, "10² and m³ and F [1, 2] = 3, 5 (1-2)" + refs, "Namec et al. (2003); (see Namea, 2001, 2002)" + refs)
     links = C.numeric_links(C.mentions(one), C.references(one))
     got = {}
     for r in links.collect():
@@ -249,3 +249,53 @@ def test_records(spark):
     assert values(spark, ["12", "-1", "x", "1.5"], R.count_or_null) == [12, None, None, None]
     assert values(spark, ['<section a="b"><div class="doc-figure-panel-label x">L</div><figcaption>c</figcaption></section>'], R.note_html) == ['<p>L</p><p class="doc-caption">c</p>']
     assert values(spark, ["00001|000123|00005", "1|2|3", None], R.sort_offset) == [123, None, None]
+
+
+def entry(text, part, kind="text", page=0, box=(1, 1, 500, 100)):
+    at = text.index(part)
+    return {"type": kind, "md_from": at, "md_to": at + len(part), "locations": [{"page_index": page, "bbox": list(box)}]}
+
+
+def test_text_flow_over_a_page():
+    t = "One two three four five six (\n\n![](c.png)\n\nseven eight) end.\n\nNext."
+    rows = [entry(t, "One two three four five six ("), entry(t, "![](c.png)", "chart"), entry(t, "seven eight) end.", page=1), entry(t, "Next.", page=1, box=(1, 300, 500, 400))]
+    assert W.text_flow(t, rows) == "One two three four five six ( seven eight) end.\n\n![](c.png)\n\nNext."
+    assert W.text_flow(t, rows[:1] + rows[2:]) == t
+
+
+def test_columns_in_reading_order():
+    t = "left one\n\nright one\n\n\nleft two"
+    rows = [entry(t, "left one", box=(10, 10, 400, 50)), entry(t, "right one", box=(500, 10, 900, 50)), entry(t, "left two", box=(10, 60, 400, 90))]
+    assert W.column_flow(t, rows) == "left one\n\nleft two\n\n\nright one"
+    assert W.split_columns([[10, 0, 100, 1], [500, 0, 900, 1]]) is None and W.split_columns([[10, 0, 400, 1], [500, 0, 900, 1]]) == 450
+
+
+def test_panels_side_by_side():
+    t = "![](b.png)\n\nSome prose below.\n\n![Figure 1. Both](a.png)\n\nend"
+    rows = [entry(t, "![](b.png)", "chart", box=(520, 10, 900, 200)), entry(t, "Some prose below.", box=(10, 300, 900, 350)), entry(t, "![Figure 1. Both](a.png)", "chart", box=(100, 10, 500, 200))]
+    assert W.panels(t, rows) == "![Figure 1. Both](a.png)  \n![](b.png)\n\nSome prose below.\n\nend"
+    assert W.panels(t, rows[:2]) == t
+
+
+def test_normalize_converted_text():
+    t = "• one\n\n• two\n\nThis is a sentence of six words\n\nthat goes on.\n\nIt was seen (as Smith and all others said,\n\n2001, 2002).\n\n![](a.png)\n\nFigure 1. Cap\n\n# References\n\n• x\n\n• y\n\nlong words one two three four\n\nlower case"
+    got = W.normalize(t)
+    assert got.startswith("- one\n\n- two\n\nThis is a sentence of six words that goes on.\n\nIt was seen (as Smith and all others said, 2001, 2002).\n\n![Figure 1. Cap](a.png)") and got.endswith("# References\n\n• x\n\n• y\n\nlong words one two three four\n\nlower case")
+
+
+def test_prepare(spark):
+    t = "Alpha left column words one.\n\nBeta right column words two.\n\nGamma left column words three."
+    b = [(1, i, "text", x, None, 0, box) for i, (x, box) in enumerate(zip(t.split("\n\n"), ([10.0, 10.0, 400.0, 50.0], [500.0, 10.0, 900.0, 50.0], [10.0, 60.0, 400.0, 90.0])))]
+    blocks = spark.createDataFrame(b, "doc_id int, ordinal int, type string, text string, asset_path string, page_index int, bbox array<double>")
+    docs_ = spark.createDataFrame([(1, t, False), (2, t, False), (3, None, None)], "doc_id int, markdown string, edited boolean")
+    got = {r.doc_id: r.markdown for r in W.prepared(docs_, blocks).collect()}
+    assert got[1].split("\n\n")[1].startswith("Gamma") and got[2] == t and got[3] is None and W.prepare(t, [], True) == t
+
+
+def test_affiliations(spark):
+    t = "# Title\n\nAnn Lee<sup>1,2*</sup>, Bo Om$^{2}$\n\n<sup>1</sup> Dept A; <sup>2</sup>Dept B\n\n²Dept B, new\n\n# Abstract\n\nx<sup>1</sup>"
+    got = FM.author_affiliations(docs(spark, t, "# T\n\nno marks", None)).orderBy("begin_at").collect()
+    assert [(t[r.begin_at : r.end_at], r.key, r.affiliation) for r in got] == [("1", "1", "Dept A"), ("2*", "2", "Dept B, new"), ("2", "2", "Dept B, new")]
+    plain = "# Title\n\nAnn<sup>a</sup> Bo<sup>b</sup>\n\na Dept of A\nb Dept of B\n\n## Methods\n"
+    assert [r[:2] for r in FM.affiliations_of(plain)] == [("a", "Dept of A"), ("b", "Dept of B")]
+    assert t[FM.body_start(t) :].startswith("# Abstract") and FM.mark_key("†a") == "a" and FM.mark_key("*") is None
