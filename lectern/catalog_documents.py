@@ -10,7 +10,7 @@ from lectern import fixtures as X
 from lectern.catalog import query
 from lectern.functions import records as R
 from lectern.functions.text import squash
-from lectern.operators import anchors, cache, citations as C, figures as G, flow, graph, sourcemap as SM, translation as TR
+from lectern.operators import affiliations, anchors, cache, citations as C, figures as G, flow, graph, safe_html, sourcemap as SM, translation as TR
 from lectern.session import scratch_root, table
 from lectern.sources import archive, providers as P, store
 
@@ -329,6 +329,20 @@ def annotation_order(spark, d):
     return anchors.panel_order(found, e).select(F.col("id").alias("event_id"), F.col("n").cast("int").alias("n"))
 
 
+@query(r"""SELECT o_orderkey AS doc_id, '<h2>Order <em>' || o_orderkey || '</em></h2>' || chr(10) || '<p>A &lt;b&gt; <strong>' || o_orderstatus || '</strong> <code>x&lt;y</code> <span class="math">k^2</span> ' || CASE WHEN o_orderkey % 2 = 0 THEN '<a href="https://a.example/' || o_orderkey || '" rel="noopener">l</a>' ELSE 'l' END || ' &amp; 5 $</p>' || chr(10) || '<ul><li>a</li><li>' || o_orderpriority || '</li></ul>' AS html FROM orders""")
+def markdown_html(spark, d):
+    k = F.col("o_orderkey")
+    t = cat("## Order *", k, "*\n\nA <b> **", F.col("o_orderstatus"), "** `x<y` $k^2$ ", F.when(k % 2 == 0, cat("[l](https://a.example/", k, ")")).otherwise("[l](javascript:x)"), " & 5 $\n\n- a\n- ", F.col("o_orderpriority"))
+    return safe_html.rendered(table(spark, d, "orders").select(k.alias("doc_id"), t.alias("text"))).select("doc_id", "html")
+
+
+@query(r"""SELECT o_orderkey AS doc_id, key, CASE key WHEN '1' THEN 'Dept ' || o_orderkey ELSE 'Dept of B' END AS affiliation FROM orders, (VALUES ('1'), ('2')) t(key)""")
+def author_affiliations(spark, d):
+    k = F.col("o_orderkey")
+    t = cat("# Title\n\nAnn Lee<sup>1</sup>, Bo Om<sup>2*</sup>\n\n<sup>1</sup> Dept ", k, "; <sup>2</sup>Dept of B\n\n## Abstract\n\nx<sup>2</sup>")
+    return affiliations.author_affiliations(table(spark, d, "orders").select(k.alias("doc_id"), t.alias("text"))).select("doc_id", "key", "affiliation")
+
+
 # Translation
 
 

@@ -289,16 +289,40 @@ def blocked_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     return docs.select(doc, F.posexplode(_fenced(F.col(text))).alias("n", "blocked"))
 
 
-_MATH = re.compile(r"\\\((.+?)\\\)|(?<![\\$])\$(?!\$)([^\n$]+?)(?<!\\)\$(?![\d$])")
+_MATH_MARK = re.compile(r"\\[\\$]|\\[()]|\$+|\n")
 
 
 def inline_math(text: str) -> list[tuple[int, int]]:
-    """Ranges of ``$…$`` and ``\\(…\\)`` within lines; padding must be the same on both sides."""
-    out = []
-    for m in _MATH.finditer(text):
-        body = m.group(1) or m.group(2)
-        if body.strip() and (body[0] == " ") == (body[-1] == " ") and "\n" not in body:
-            out.append((m.start(), m.end()))
+    """Ranges of ``$…$`` and ``\\(…\\)`` within lines, in one pass.
+
+    The content must not be blank, its padding the same on both sides; after a closing dollar there may be no digit, nor, if the
+    content has spaces, a letter. A dollar that can't close opens anew. Of overlapping ranges the first counts.
+    """
+    found, dollar, bracket = [], None, None
+    for m in _MATH_MARK.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark == "\n":
+            dollar = bracket = None
+        elif mark == "\\(":
+            bracket = at
+        elif mark == "\\)":
+            if bracket is not None and text[bracket + 2 : at].strip():
+                found.append((bracket, at + 2))
+            bracket = None
+        elif mark == "$":
+            if dollar is not None:
+                body, after = text[dollar + 1 : at], text[at + 1 : at + 2]
+                fine = body.strip() and body[0].isspace() == body[-1].isspace() and not after.isdigit()
+                if fine and not (" " in body and after.isalnum() and after.isascii()):
+                    found.append((dollar, at + 1))
+                    dollar = None
+                    continue
+            dollar = at
+    out, reach = [], 0
+    for b, e in sorted(found):
+        if b >= reach:
+            out.append((b, e))
+            reach = e
     return out
 
 

@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import unicodedata
 import zipfile
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers as I, records as R
-from lectern.operators import affiliations as FM, anchors as A, cache, citations as C, figures as G, flow as W, graph, markdown as M, relational as REL, sourcemap as S, translation as TR
+from lectern.operators import safe_html as H, affiliations as FM, anchors as A, cache, citations as C, figures as G, flow as W, graph, markdown as M, relational as REL, sourcemap as S, translation as TR
 from lectern.sources import providers as P, store
 from lectern.sources.archive import is_stable_list, open_archive
 
@@ -299,3 +300,29 @@ def test_affiliations(spark):
     plain = "# Title\n\nAnn<sup>a</sup> Bo<sup>b</sup>\n\na Dept of A\nb Dept of B\n\n## Methods\n"
     assert [r[:2] for r in FM.affiliations_of(plain)] == [("a", "Dept of A"), ("b", "Dept of B")]
     assert t[FM.body_start(t) :].startswith("# Abstract") and FM.mark_key("†a") == "a" and FM.mark_key("*") is None
+
+
+#: Documents of the reference's own timing tests; each took it under 1.5 seconds.
+HARD = {"dollars": "$1" * 32000, "open round": "\\(" * 32000, "open square": "\\[\n" * 16000, "ordinary": "**b** " * 6000 + "[t](https://a.example/x) " * 2500, "formulas": "$x$ " * 16000, "split": "$a*b*c$ " * 8000, "ticks": "`a " * 20000, "stars": "*a " * 20000}
+
+
+@pytest.mark.parametrize("name", sorted(HARD))
+def test_rendering_is_linear(name):
+    began = time.process_time()
+    H.render(HARD[name])
+    assert time.process_time() - began < 1.5
+
+
+def test_rendering_is_safe():
+    got = H.render("# a <script>x</script>\n\n[x](javascript:alert(1)) [y](JaVa\tscript:x) ![z](//evil) <img src=x onerror=y>\n\n<div onclick=x>\n\n<table onload=x><tr><td>1</td></tr></table>\n\n```a\"b\n</code>\n```")
+    assert "<script" not in got and "javascript:" not in got.lower() and "<img" not in got and "<div onclick" not in got and "<table><tr><td>1</td></tr></table>" in got and "&lt;/code&gt;" in got
+    assert H.render("") == "" and H.render("$a$ " * 1001).count('class="math"') == 1000
+    assert H.render("a\\*b* *c* __d__ ~~e~~ x_y_z") == "<p>a*b* <em>c</em> <strong>d</strong> <del>e</del> x_y_z</p>"
+    assert H.gfm_table(["a", "b"], [["1|2"], ["x\ny", "z", "w"]], ["right"]) == "| a | b |\n| ---: | --- |\n| 1\\|2 |  |\n| x<br>y | z |"
+    assert "<figcaption>Figure 1. Two</figcaption>" in H.render("![](a.png)\n![](b.png)\n\nFigure 1. Two")
+
+
+def test_inline_math_rules():
+    assert M.inline_math("a $x$ b $5 and $6, \\(y\\)") == [(2, 5), (19, 24)]
+    assert M.inline_math("$ x$ $x $ $ x $ $$ $a b$c $a$1") == [(10, 15)]
+    assert M.inline_math("$a\nb$ \\(a\nb\\)") == []
