@@ -12,6 +12,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, types as T
 
+from lectern.session import bounded_batches
+
 #: Ranks of a public byte-level BPE vocabulary; every executor must see the file.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters that the transducer takes at a time.
@@ -187,6 +189,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "token_id
     encoded whole, whatever their length, window by window. Repeated rows are encoded each. No row moves. A column of ``docs`` that has
     the name of an added column is replaced. An empty table stays empty.
     """
+    docs = bounded_batches(docs)
     source = docs if keep_text else docs.withColumnRenamed(text_col, "__bpe_text")
     text = text_col if keep_text else "__bpe_text"
     schema = _fields(source, (ids_col, T.ArrayType(T.IntegerType())), ("n_tokens", T.IntegerType()))
@@ -211,6 +214,7 @@ def bpe_decode(df: DataFrame, ids_col: str = "token_ids", text_col: str = "text"
 
     Null arrays give null texts. A null or unknown id and bytes that are no UTF-8 give U+FFFD.
     """
+    df = bounded_batches(df)
     schema = _fields(df, (text_col, T.StringType()))
     names = schema.names
 

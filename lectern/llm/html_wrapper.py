@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lectern.llm.vectext import groups
-from lectern.session import BROADCAST_BYTES, materialize, small_or_shuffled
+from lectern.session import BROADCAST_BYTES, bounded_batches, materialize, small_or_shuffled
 
 TEXT = "#"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -533,6 +533,7 @@ def extract_pages(
     repeated results. Long pages are read whole: streams of n and m tokens are aligned along a longest
     common subsequence, in n m / 64 steps. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
+    pages = bounded_batches(pages)
     wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + 64)).head()[0] or 0
     source = pages.select(F.col(page_col).alias("page"), _host(url_col).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("mark"))

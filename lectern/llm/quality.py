@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lectern.llm import vectext
+from lectern.session import bounded_batches
 
 
 class SubwordClassifier:
@@ -122,7 +123,7 @@ def score_quality(docs: DataFrame, model: SubwordClassifier | None, text_col: st
     Null texts score null, as do all if there is no model; empty texts score what the bias
     says. A column named as the score is replaced.
     """
-    rest = docs.drop(score_col)
+    rest = bounded_batches(docs).drop(score_col)
     if model is None:
         return rest.withColumn(score_col, F.lit(None).cast("double"))
     shared = docs.sparkSession.sparkContext.broadcast((model.buckets, model.grams, model.bias, model.weights()))

@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lectern.llm.bpe import VOCABULARY, WINDOW, load_ranks, transducer
-from lectern.session import materialize, scratch_root
+from lectern.session import bounded_batches, materialize, scratch_root
 
 #: Serialized ids from which one partial dictionary is trained, and partial dictionaries that are merged at a time.
 CHUNK_BYTES = 8 << 20
@@ -106,7 +106,7 @@ def write_tokens(
     """
     root = root or f"{scratch_root(docs.sparkSession)}/lectern-tokens-{uuid.uuid4().hex}"
     width = 2 if max(load_ranks(vocabulary).values()) < 1 << 16 else 4
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

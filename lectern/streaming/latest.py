@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, functions as F
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.cache import latest
 
 
-def upsert_latest(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last row of each key of a stream in versioned Parquet tables below ``path``.
+def _buckets(path: str) -> dict[int, list[int]]:
+    """Versions of each bucket below ``path/v=<version>/bucket=<bucket>``, ascending."""
+    files, base = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    out: dict[int, list[int]] = {}
+    for x in files.get_file_info(fs.FileSelector(base, allow_not_found=True, recursive=True)):
+        if x.base_name.startswith("bucket=") and x.type == fs.FileType.Directory:
+            out.setdefault(int(x.base_name[7:]), []).append(int(x.path.rsplit("/", 2)[-2][2:]))
+    return {k: sorted(v) for k, v in out.items()}
+
 
-    Each batch is folded with the version before it into ``v=<batch>``; a batch that runs again
-    reads the same version and overwrites the same folder, so that retries change nothing.
+def upsert_latest(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the last row of each key of a stream in Parquet tables below ``path``, by buckets of the keys.
+
+    Each batch rewrites only the buckets that it touches, into ``v=<batch>/bucket=<bucket>``. A batch that runs again
+    reads the same versions and overwrites the same folders, so that retries change nothing. Of each bucket the
+    newest two versions are kept.
     """
+    files, base = fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        both = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}"))
-        latest(both, keys, order).write.mode("overwrite").parquet(f"{path}/v={n}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+        held = {k: [v for v in vs if v < n] for k, vs in _buckets(path).items()}
+        old = [f"{path}/v={held[k][-1]}/bucket={k}" for k in touched if held.get(k)]
+        both = rows if not old else rows.unionByName(spark.read.schema(rows.schema).option("basePath", path).parquet(*old).select(*rows.columns))
+        if touched:
+            latest(both, keys, order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
+        rows.unpersist()
+        for k, vs in _buckets(path).items():
+            for v in vs[:-2]:
+                files.delete_dir(f"{base}/v={v}/bucket={k}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_version(spark, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.where(F.col("v") == table.agg(F.max("v")).head()[0]).drop("v")
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``upsert_latest`` keeps: the newest version of each bucket."""
+    newest = [f"{path}/v={vs[-1]}/bucket={k}" for k, vs in sorted(_buckets(path).items())]
+    return spark.read.option("basePath", path).parquet(*newest).drop("v", "bucket")
+
+
+def single_flight(stream: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
+    """Requests of a stream without those whose keys were asked for ``within`` that time before."""
+    return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_counts(stream: DataFrame, at: str, keys: list[str], width: str, late: str) -> DataFrame:
     """Counts by event-time window, closed once the watermark passes (an extra of this engine)."""
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *keys).count()
-
-
-def for_each_provider(stream: DataFrame, publish: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Publish partial results as they come, batch by batch."""
-    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

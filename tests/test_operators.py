@@ -13,7 +13,7 @@ from lectern import catalog
 from lectern.functions import identifiers as I, text as S
 from lectern.operators import cache, citations as C, figures as G, graph, markdown as M, relational as R, render
 from lectern.sources.archive import content_blocks, open_archive, read_archives
-from lectern.streaming.latest import newest_version, upsert_latest
+from lectern.streaming.latest import newest_version, single_flight, upsert_latest, windowed_counts
 
 
 def column(spark, values, f):
@@ -118,3 +118,27 @@ def test_stream_equals_batch(spark, tmp_path):
     upsert_latest(stream, ["user_id"], ["ts", "event_id"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {tuple(r) for r in newest_version(spark, str(tmp_path / "out")).select("user_id", "event_id").collect()}
     assert got == {tuple(r) for r in cache.latest(events, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id").collect()}
+
+
+def test_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    rows = lambda n, keys: spark.createDataFrame([(k, n, f"v{n}") for k in keys], "k int, at int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "k int, at int, v string"
+    for n, keys in enumerate((range(50), [1], [1], [1, 2])):
+        rows(n, keys)
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        upsert_latest(stream, ["k"], ["at"], str(tmp_path / "out"), str(tmp_path / "cp"), 8).awaitTermination()
+    got = {r.k: r.v for r in newest_version(spark, str(tmp_path / "out")).collect()}
+    assert got == {k: "v3" if k in (1, 2) else "v0" for k in range(50)}
+    versions = [p.parent.name for p in (tmp_path / "out").glob("v=*/bucket=*")]
+    assert versions.count("v=0") == 8 - 1 and len(versions) <= 8 + 3
+
+
+def test_windows_and_single_flight(spark, tmp_path):
+    events = spark.createDataFrame([("a", "2024-01-01 00:00:01"), ("a", "2024-01-01 00:00:05"), ("b", "2024-01-01 00:01:30"), ("a", "2024-01-01 00:09:00")], "k string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    run = lambda df, name, mode: df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    run(windowed_counts(stream(), "at", ["k"], "1 minute", "1 minute"), "counts", "complete")
+    assert sorted((r.k, r["count"]) for r in spark.table("counts").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    run(single_flight(stream(), ["k"], "at", "1 minute"), "once", "append")
+    assert sorted(r.k for r in spark.table("once").collect())[:2] == ["a", "b"]
