@@ -121,16 +121,16 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_stream_rewrites_only_touched_buckets(spark, tmp_path):
-    rows = lambda n, keys: spark.createDataFrame([(k, n, f"v{n}") for k in keys], "k int, at int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = "k int, at int, v string"
+    schema = "k int, version int, v string"
+    rows = lambda n, keys: spark.createDataFrame([(k, n, f"v{n}") for k in keys], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for n, keys in enumerate((range(50), [1], [1], [1, 2])):
         rows(n, keys)
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        upsert_latest(stream, ["k"], ["at"], str(tmp_path / "out"), str(tmp_path / "cp"), 8).awaitTermination()
+        upsert_latest(stream, ["k"], ["version"], str(tmp_path / "out"), str(tmp_path / "cp"), 8).awaitTermination()
     got = {r.k: r.v for r in newest_version(spark, str(tmp_path / "out")).collect()}
     assert got == {k: "v3" if k in (1, 2) else "v0" for k in range(50)}
-    versions = [p.parent.name for p in (tmp_path / "out").glob("v=*/bucket=*")]
-    assert versions.count("v=0") == 8 - 1 and len(versions) <= 8 + 3
+    versions = [p.parent.name for p in (tmp_path / "out").glob("version=*/lectern_bucket=*")]
+    assert versions.count("version=0") == 8 - 1 and len(versions) <= 8 + 3
 
 
 def test_windows_and_single_flight(spark, tmp_path):
