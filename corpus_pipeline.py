@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.bpe import bpe_decode, bpe_encode
+from lectern.llm.bpe import bpe_round_trip
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.mixing import mix_sources
 from lectern.llm.near_dedup import near_dedup
@@ -43,7 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text decoded from them. Null texts have null ids, empty ones none."""
-    return bpe_decode(bpe_encode(docs))
+    return bpe_round_trip(docs)
 
 
 STAGES = [

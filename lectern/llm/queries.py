@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.bpe import bpe_decode, bpe_encode
+from lectern.llm.bpe import bpe_round_trip
 from lectern.llm.chat import format_chat, stream_events
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.html_wrapper import extract_pages
@@ -21,7 +21,7 @@ from lectern.session import table
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's ids, and in ``text`` what decoding those ids gives."""
-    return bpe_decode(bpe_encode(table(spark, sf_dir, "documents")))
+    return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
