@@ -138,6 +138,7 @@ def score_quality(docs: DataFrame, model: SubwordClassifier | None, text_col: st
             p = m.probabilities(texts, w)[:, 1] if texts else np.zeros(0)
             score = pa.array([None if t is None else float(x) for t, x in zip(texts, p)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], schema.names)
+        vectext.give_back()
 
     return rest.mapInArrow(run, schema)
 

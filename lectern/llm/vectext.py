@@ -5,10 +5,12 @@ All hashes are 64-bit, depend on the characters only and are the same in every w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are handled in groups of about this many characters, to bound the arrays.
 GROUP_CHARS = 1 << 18
@@ -128,3 +130,11 @@ def shingles(word_hashes: np.ndarray, n: int) -> np.ndarray:
     for j in range(min(n, len(word_hashes))):
         out += mix(word_hashes[j : j + m], j + 2)
     return mix(out, 7)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: an idle Python worker keeps what its last task held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
