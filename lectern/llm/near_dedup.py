@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,6 +208,56 @@ def _verify(pairs: DataFrame, docs: DataFrame, idf, shingle: int, threshold: flo
     return both.mapInArrow(compare, pairs.schema).distinct()
 
 
+def prefix(s: np.ndarray, weight: np.ndarray, idf: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles of a document, up to where those left weigh less than ``threshold`` of all.
+
+    Two documents whose weighted Jaccard similarity reaches the threshold have one of these in common: their common
+    weight is at least that share of either, and what is rarer than the end of the shorter prefix is in both prefixes.
+    """
+    order = np.lexsort((s, -idf[(s & np.uint64(len(idf) - 1)).astype(np.int64)]))
+    taken = np.cumsum(weight[order], dtype=np.float64)
+    return s[order[: int(np.searchsorted(taken, (1 - threshold + 1e-6) * taken[-1])) + 1]]
+
+
+def _rest_pairs(placed: DataFrame, docs: DataFrame, idf, shingle: int, threshold: float, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of rows of equal shingles, and all pairs of ``placed (node, comp)`` that may reach the threshold between components.
+
+    Exact, whatever the number of rows: pairs without a common shingle in their prefixes, or whose weights
+    differ by more than the threshold allows, can't reach it. Of rows with equal shingles one takes part.
+    """
+    placed = materialize(placed.withColumn(_R, F.col("node.row")), "rest")
+    source = semi_possible(_rows(docs, text_col, id_col).select(_R, _TEXT), placed, _R)
+
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
+        for batch in batches:
+            texts, out = batch.column(1).to_pylist(), []
+            for a, b in vectext.groups(texts):
+                h, _, _, first = vectext.words(texts[a:b])
+                for i in range(b - a):
+                    s, weight = weighted_shingles(h[first[i] : first[i + 1]], table, shingle)
+                    form = hashlib.md5(s.tobytes() + weight.tobytes()).digest()
+                    out.append((form, float(weight.sum(dtype=np.float64)), prefix(s, weight, table, threshold).view(np.int64) if len(s) else np.zeros(0, np.int64)))
+            form, weight, rare = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(form, pa.binary()), pa.array(weight, pa.float64()), pa.array(rare, pa.list_(pa.int64()))], [_R, "form", "weight", "rare"])
+        vectext.give_back()
+
+    known = source.mapInArrow(facts, f"{_R} binary, form binary, weight double, rare array<bigint>").dropDuplicates([_R])
+    known = materialize(placed.join(known, _R).select("node", "comp", "form", "weight", "rare"), "prefixes")
+    forms = known.groupBy("form").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("form", "a")
+    equal = materialize(known.join(materialize(forms, "forms"), "form").where("a <> node").select("a", F.col("node").alias("b")), "equal")
+    rows = known.join(equal.select(F.col("b").alias("node")), "node", "left_anti").select("node", "comp", "weight", F.explode("rare").alias("s"))
+    shared = materialize(rows.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s"), "rare-shingles")
+    rows = materialize(semi_possible(rows, shared, "s").join(shared, "s"), "postings")
+    # components meet first: rows of one component are never paired
+    comps = materialize(rows.select("s", "comp").distinct(), "posted-components")
+    meet = comps.withColumnRenamed("comp", "ca").join(comps.withColumnRenamed("comp", "cb"), "s").where("ca < cb")
+    side = lambda n, c, w: rows.select("s", F.col("node").alias(n), F.col("comp").alias(c), F.col("weight").alias(w))
+    pairs = meet.join(side("p", "ca", "wp"), ["s", "ca"]).join(side("q", "cb", "wq"), ["s", "cb"])
+    pairs = pairs.where(F.least("wp", "wq") >= (threshold - 1e-6) * F.greatest("wp", "wq"))
+    return equal, pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     threshold: float = 0.45,
@@ -224,7 +275,9 @@ def near_groups(
     Rows that agree on a band are candidates: with the defaults 0.94 of the pairs at the threshold. In each
     bucket all are first compared with the smallest node; what then still lies in one bucket but in
     different components is compared pair by pair in buckets of up to ``pairwise`` rows, and in larger ones
-    by one row of each component. So a bucket of n copies costs n comparisons.
+    first by one row of each component if there are no more than ``pairwise`` components. Of larger buckets that
+    are still split after that, all pairs of different components are compared, but those whose weights or rarest
+    shingles show that they can't reach the threshold (``_rest_pairs``). So a bucket of n copies costs n comparisons.
     """
     docs = bounded_batches(docs)
     counts, n = document_frequencies(docs, text_col, shingle, buckets)
@@ -240,17 +293,34 @@ def near_groups(
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     edges = materialize(_verify(pairs, *args), "edges")
     comps = materialize(connected_components(edges), "components")
-    placed = members.join(small_or_shuffled(comps, 112, broadcast_bytes), "node", "left").select("h", "node", "size", F.coalesce("comp", "node").alias("comp"))
-    apart = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    placed = placed.join(small_or_shuffled(materialize(apart, "split-buckets"), 16, broadcast_bytes), "h", "left_semi")
-    one = placed.where(F.col("size") > pairwise).groupBy("h", "comp").agg(F.min("node").alias("node")).select("h", "node", "comp")
-    placed = materialize(placed.where(F.col("size") <= pairwise).select("h", "node", "comp").union(one), "split-buckets")
+
+    def split(of: DataFrame, comps: DataFrame) -> DataFrame:
+        placed = of.join(small_or_shuffled(comps, 112, broadcast_bytes), "node", "left").select("h", "node", "size", F.coalesce("comp", "node").alias("comp"))
+        apart = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
+        return materialize(placed.join(small_or_shuffled(materialize(apart, "split-buckets"), 16, broadcast_bytes), "h", "left_semi"), "split-buckets")
+
+    apart = split(members, comps)
+    one = apart.where(F.col("size") > pairwise).groupBy("h", "comp").agg(F.min("node").alias("node"))
+    few = one.groupBy("h").count().where(F.col("count") <= pairwise).select("h")
+    one = one.join(few, "h", "left_semi").select("h", "node", "comp")
+    placed = materialize(apart.where(F.col("size") <= pairwise).select("h", "node", "comp").union(one), "split-buckets")
     left = placed.select("h", F.col("node").alias("a"), F.col("comp").alias("ca"))
     right = placed.select("h", F.col("node").alias("b"), F.col("comp").alias("cb"))
     rest = left.join(right, "h").where("a < b and ca <> cb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = materialize(rest, "pairs")
     more = None if rest.isEmpty() else materialize(_verify(rest, *args), "edges")
     if more is not None and not more.isEmpty():
+        edges = edges.union(more)
+        comps = materialize(connected_components(edges), "components")
+    large = apart.where(F.col("size") > pairwise).select("h", "node", "size")
+    if large.isEmpty():
+        return comps, signed
+    large = split(large, comps)
+    if large.isEmpty():
+        return comps, signed
+    equal, rest = _rest_pairs(large.select("node", "comp").distinct(), docs, idf, shingle, threshold, text_col, id_col)
+    more = materialize(_verify(rest, *args).union(equal), "edges")
+    if not more.isEmpty():
         comps = materialize(connected_components(edges.union(more)), "components")
     return comps, signed
 

@@ -201,6 +201,51 @@ def test_large_buckets_are_compared_by_component(spark):
         assert {r for r in got if r < 20} == firsts and got >= set(range(20, 25))
 
 
+def sliding_windows(bands):
+    """Windows along a text, and the first ones of the groups by all pairs and by those that share a bucket of one-row bands."""
+    rng = random.Random(13)
+    rows = []
+    for g in range(4):
+        words = text(rng, 900).split()
+        rows += [(n, " ".join(words[15 * i : 15 * i + 100]), "s") for i, n in enumerate(rng.sample(range(100 * g, 100 * g + 100), 50))]
+    rows += [(1000 + i, rows[i][1], "s") for i in range(0, 200, 20)]
+    brute, words = near_brute(rows), {i: V.words([t])[0] for i, t, _ in rows}
+    counts = np.zeros(1 << 20, dtype=np.int64)
+    for w in words.values():
+        counts[np.unique(V.shingles(w, 3) & np.uint64((1 << 20) - 1)).astype(np.int64)] += 1
+    sampler, idf = N.Sampler(bands), N.idf_of(counts, len(rows))
+    hashes = {i: set(N.band_hashes(sampler(*N.weighted_shingles(w, idf, 3)), bands, 1).tolist()) for i, w in words.items()}
+    group, every = {i: i for i in words}, {i: i for i in words}
+    for a, b in brute:
+        for g, hit in ((group, hashes[a] & hashes[b]), (every, True)):
+            low, high = sorted((g[a], g[b]))
+            g.update({i: low for i in g if g[i] == high and hit})
+    return rows, set(every.values()), set(group.values())
+
+
+@pytest.mark.parametrize("bands", [2, 4])
+def test_large_buckets_lose_no_pair_of_members(spark, bands):
+    """Windows that link two components are not the components' first ones."""
+    rows, least, most = sliding_windows(bands)
+    got = {r.doc_id for r in N.near_dedup(docs(spark, *rows), bands=bands, rows=1, pairwise=1).collect()}
+    assert least <= got <= most
+
+
+def test_prefixes_of_near_copies_meet():
+    rng = np.random.default_rng(3)
+    idf, met, short = rng.uniform(1, 9, 1 << 10).astype(np.float32), 0, 0
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) < 0.8], rng.integers(0, 90, rng.integers(1, 12)).astype(np.uint64)))
+        a, b = ((s, rng.integers(1, 4, len(s)).astype(np.float32) * idf[s.astype(np.int64)]) for s in (a, b))
+        pa_, pb = (N.prefix(*v, idf, 0.45) for v in (a, b))
+        short += len(pa_) < len(a[0])
+        if N.weighted_jaccard(a, b) >= 0.45:
+            met += 1
+            assert set(pa_.tolist()) & set(pb.tolist())
+    assert met > 50 and short > 1000
+
+
 def test_near_dedup_recall(spark):
     rng = random.Random(2)
     rows = []
