@@ -1,5 +1,6 @@
 """The ten operators against brute force, round trips, SQL and odd inputs."""
 
+import functools
 import hashlib
 import json
 import random
@@ -649,6 +650,13 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(str((r.doc_id, r.text, r.token_ids)) for r in got) == sorted(wanted)
 
 
+def test_near_stage_loses_no_pair_in_large_buckets(spark, monkeypatch):
+    rows, least, most = sliding_windows(2)
+    monkeypatch.setattr(N, "near_groups", functools.partial(N.near_groups, bands=2, rows=1, pairwise=1))
+    got = {r.doc_id for r in corpus_pipeline.near(spark, docs(spark, *rows), DIR).collect()}
+    assert least <= got <= most
+
+
 def test_stages_with_odd_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for df, n in ((odd(spark), 7), (odd(spark).limit(0), 0)):
