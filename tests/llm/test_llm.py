@@ -552,6 +552,34 @@ def test_passages_against_brute_force(spark, frequent):
     assert same_class(P.repeated_passages(docs(spark, *rows), frequent=frequent).collect()) == brute
 
 
+def test_passages_longer_than_a_common_line(spark):
+    """A line of 30 words is in all texts; pairs go on after it for 14 words without another seed in a row."""
+    rng = random.Random(21)
+    line = text(rng, 30)
+    rows = [(i, text(rng, 30) + " " + line + " " + text(rng, 30), "s") for i in range(8)]
+    wanted = set()
+    for n in range(6):
+        more = text(rng, 14).split()
+        again = [text(rng, 1) if m % 5 == 4 else x for m, x in enumerate(more)]
+        rows += [(100 + 10 * n + m, text(rng, 30) + " " + line + " " + " ".join(t) + " " + text(rng, 30), "s") for m, t in enumerate((more, again))]
+        wanted.add((101 + 10 * n, 100 + 10 * n))
+    assert wanted <= same_class(P.repeated_passages(docs(spark, *rows), frequent=3).collect())
+
+
+def test_passages_of_frequent_and_rare_seeds(spark):
+    """14 words that are in all texts, changes in every fifth word, and 12 words of two texts only: few seeds of either kind."""
+    rng = random.Random(22)
+    line, wanted = text(rng, 14), set()
+    rows = [(i, text(rng, 30) + " " + line + " " + text(rng, 30), "s") for i in range(8)]
+    for n in range(20):
+        mid, end = text(rng, 15).split(), text(rng, 12)
+        for m in range(2):
+            mid = [text(rng, 1) if m and k % 5 == 4 else x for k, x in enumerate(mid)]
+            rows.append((100 + 10 * n + m, text(rng, 30) + " " + line + " " + " ".join(mid) + " " + end + " " + text(rng, 30), "s"))
+        wanted.add((101 + 10 * n, 100 + 10 * n))
+    assert wanted <= same_class(P.repeated_passages(docs(spark, *rows), frequent=3).collect())
+
+
 def test_passages_between_gaps(spark):
     """Ten exact passages of 60 words with 20 other words between them are all found."""
     rng = random.Random(4)
