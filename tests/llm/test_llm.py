@@ -580,6 +580,19 @@ def test_passages_of_frequent_and_rare_seeds(spark):
     assert wanted <= same_class(P.repeated_passages(docs(spark, *rows), frequent=3).collect())
 
 
+def test_passages_of_one_word_on_and_on(spark, monkeypatch):
+    """Runs of a word are one class with a number of alignments in proportion to the texts; the first text's run is no passage."""
+    rng = random.Random(23)
+    rows = [(n, text(rng, 20 + n) + " and" * (20 if n == 0 else 41 + 3 * n) + " " + text(rng, 30), "s") for n in range(40)]
+    found, aligned = [], P._aligned
+    monkeypatch.setattr(P, "_aligned", lambda source, chains, *more: found.append(chains.count()) or aligned(source, chains, *more))
+    got = P.repeated_passages(docs(spark, *rows), frequent=3).collect()
+    assert {(n, m) for n in range(1, 40) for m in range(1, n)} == same_class(got)
+    assert sum(found) <= 4 * len(rows)
+    by = {i: t for i, t, _ in rows}
+    assert all(r.n_links == 38 and by[r.doc_id][r.begin : r.end].count("and") >= 41 + 3 * min(r.doc_id, 38) for r in got)
+
+
 def test_passages_between_gaps(spark):
     """Ten exact passages of 60 words with 20 other words between them are all found."""
     rng = random.Random(4)
