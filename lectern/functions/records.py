@@ -234,9 +234,17 @@ def year_or_zero(c: Column) -> Column:
     return F.when((y >= 0) & (y <= 9999) & (y == F.floor(y)), y.cast("int")).otherwise(0)
 
 
+def provider_record(raw: Column) -> Column:
+    """What ``paper_of_record`` reads of a provider's JSON record."""
+    return F.from_json(raw, "paperId string, title string, year string, externalIds struct<DOI:string,ArXiv:string>, authors array<struct<name:string>>")
+
+
 def provider_paper(raw: Column) -> Column:
     """``struct(paper_id, title, year, doi, arxiv_id, authors)`` of a provider's JSON record; null without a valid paper id."""
-    x = F.from_json(raw, "paperId string, title string, year string, externalIds struct<DOI:string,ArXiv:string>, authors array<struct<name:string>>")
+    return paper_of_record(provider_record(raw))
+
+
+def paper_of_record(x: Column) -> Column:
     paper = F.trim(F.substring(F.coalesce(x["paperId"], F.lit("")), 1, 4096))
     names = F.filter(F.transform(F.slice(F.coalesce(x["authors"], F.array().cast("array<struct<name:string>>")), 1, 100), lambda a: squash(F.substring(F.coalesce(a["name"], F.lit("")), 1, 256))), lambda v: v != "")
     row = F.struct(paper.alias("paper_id"), squash(F.substring(F.coalesce(x["title"], F.lit("")), 1, 512)).alias("title"), year_or_zero(x["year"]).alias("year"), I.doi(x["externalIds"]["DOI"]).alias("doi"), I.arxiv(x["externalIds"]["ArXiv"]).alias("arxiv_id"), names.alias("authors"))

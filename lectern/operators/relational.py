@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from lectern.session import spread
 
 
 def unique_keys(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -61,26 +64,72 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], begin: str, end: str) ->
     return runs.groupBy(*keys, "__run").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.count("*").alias("n")).drop("__run")
 
 
-def fold_groups(df: DataFrame, key: str, order: Sequence[str], begin: str, end: str) -> DataFrame:
-    """Rows of each group in order, without those that begin before the last kept one ends. Linear in the rows."""
-    schema, names = df.schema, df.columns
+def rows_of_texts(docs: DataFrame, doc: str, text: str, schema: str, rows_of: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """Rows of ``rows_of(text)`` for each document, with the document's id; null and empty texts give none. Copies of a text within a batch are read once."""
+    source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    fields = T.StructType([T.StructField(doc, source.schema["doc"].dataType), *T._parse_datatype_string(schema).fields])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str | None, list[tuple]] = {None: [], "": []}
+            rows = []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = known.get(t)
+                if found is None:
+                    found = known[t] = list(rows_of(t))
+                rows += [(i, *row) for row in found]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], fields.names)
+
+    return spread(source, "doc").mapInArrow(run, fields)
+
+
+def fold_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], taken: Sequence[str], keep: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Rows that ``keep()``, made anew for each group of ``keys``, takes; it is asked with the columns ``taken``, row by row in order.
+
+    Groups come one after another in sorted tasks, so that neither their number nor their size counts: nothing is held but the state.
+    """
+    rows = spread(df, *keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ask = None, None
+        for batch in batches:
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            kept = []
+            for n, (g, *values) in enumerate(zip(of, *(batch.column(c).to_pylist() for c in taken))):
+                if ask is None or g != group:
+                    group, ask = g, keep()
+                if ask(*values):
+                    kept.append(n)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return rows.mapInArrow(run, df.schema)
+
+
+def _apart() -> Callable[[object, object], bool]:
+    """Takes the first interval, and those that don't begin before the last taken one ends; an end that is null is never reached."""
+    reach, first = None, True
+
+    def ask(begin, end) -> bool:
+        nonlocal reach, first
+        if first or (begin is not None and reach is not None and begin >= reach):
+            reach, first = end, False
+            return True
+        return False
+
+    return ask
 
-    def keep(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        kept, reach = [], None
-        for n, (b, e) in enumerate(zip(table.column(begin).to_pylist(), table.column(end).to_pylist())):
-            if reach is None or b >= reach:
-                kept.append(n)
-                reach = e
-        return table.take(pa.array(kept, pa.int64())).select(names)
 
-    return df.groupBy(key).applyInArrow(keep, schema)
+def fold_groups(df: DataFrame, key: str | Sequence[str], order: Sequence[str], begin: str, end: str) -> DataFrame:
+    """Rows of each group in order, nulls last, without those that begin before the last kept one ends. Linear in the rows."""
+    return fold_rows(df, [key] if isinstance(key, str) else key, [F.col(c).asc_nulls_last() for c in order], [begin, end], _apart)
 
 
 def greedy_intervals(df: DataFrame, keys: Sequence[str], begin: str, end: str) -> DataFrame:
     """Intervals taken in order of begin, then end; one that overlaps the last taken is skipped."""
-    rows = df.select(F.struct(*keys).alias("__g"), F.col(begin).cast("bigint").alias(begin), F.col(end).cast("bigint").alias(end))
-    return fold_groups(rows, "__g", [begin, end], begin, end).select("__g.*", begin, end)
+    rows = df.select(*keys, F.col(begin).cast("bigint").alias(begin), F.col(end).cast("bigint").alias(end))
+    return fold_groups(rows, keys, [begin, end], begin, end)
 
 
 def lru_keep(df: DataFrame, at: str, size: str, key: str, max_entries: int, max_bytes: int, scope: Sequence[str] = ()) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import identifiers as I, records as R
 from lectern.functions.text import squash, title_key
-from lectern.operators.relational import unique_keys
+from lectern.operators.relational import fold_rows, unique_keys
 
 #: References of a paper that count; those beyond mark it truncated.
 MAX_REFERENCES = 1000
@@ -33,7 +32,8 @@ def paper_references(answers: DataFrame, most: int = MAX_REFERENCES) -> DataFram
     ``data`` has a JSON record for each reference, in order; ``next`` is set where there are more.
     """
     cut = answers.withColumn("truncated", F.col("next").isNotNull() | (F.size("data") > most))
-    rows = cut.select("node", "truncated", F.posexplode(F.slice("data", 1, most)).alias("ordinal", "raw")).withColumn("x", R.provider_paper(F.col("raw")))
+    parsed = F.transform(F.slice("data", 1, most), R.provider_record)  # before they are rows: each field of a column would parse again
+    rows = cut.select("node", "truncated", F.posexplode(parsed).alias("ordinal", "r")).withColumn("x", R.paper_of_record(F.col("r")))
     return rows.where("x is not null").select("node", "ordinal", "x.*", "truncated")
 
 
@@ -154,17 +154,18 @@ def distinct_candidates(rows: DataFrame, group: str, order: str, identities: Col
     """
     source = rows.withColumn("__ids", F.filter(identities, lambda v: v.isNotNull() & (v != "")))
 
-    def keep(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(order, "ascending")])
+    def unseen():
         seen: set = set()
-        kept = []
-        for n, ids in enumerate(table.column("__ids").to_pylist()):
-            if seen.isdisjoint(ids or ()):
-                kept.append(n)
+
+        def ask(ids) -> bool:
+            new = seen.isdisjoint(ids or ())
+            if new:
                 seen.update(ids or ())
-        return table.take(pa.array(kept, pa.int64())).drop_columns(["__ids"])
+            return new
+
+        return ask
 
-    return source.groupBy(group).applyInArrow(keep, rows.schema)
+    return fold_rows(source, [group], [F.col(order).asc_nulls_last()], ["__ids"], unseen).drop("__ids")
 
 
 def candidates(local: DataFrame, online: DataFrame, limit: int = 20) -> DataFrame:
