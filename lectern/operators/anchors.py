@@ -5,25 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lectern.functions import rx as regex
 from lectern.functions.text import squash
-from lectern.operators.sourcemap import NormalText, VisibleIndex, occurrences
+from lectern.operators.sourcemap import NormalText, VisibleIndex, normal_text, occurrences, visible_text
+from lectern.session import spread, structs_of
 
 #: Characters that one side of a quote's context needs to count.
 CONTEXT = 12
 
 
-def fold_annotation(s: str) -> str:
-    """Comparison form of a page's text: quotes and hyphens unified, words joined over line ends, marks of mathematics plain, no space before punctuation."""
-    for pattern, new in (
+_FOLDS = [
+    (regex.compile(p), new)
+    for p, new in (
         (r"[‘’‚‛]", "'"), (r"[“”„‟]", '"'), (r"[‐‑‒–—−]", "-"), (r"(?<=\d)\s*\uFFFD\s*(?=[CF]\b)", "°"), (r"\\pm\b", "±"), (r"\\(?:geq|ge)\b|>=", "≥"), (r"\\(?:leq|le)\b|<=", "≤"), (r"\\(?:neq|ne)\b|!=", "≠"),
         (r"\^\{?\\circ\}?", "°"), (r"\\(?:mathrm|text)\{([^{}]*)\}", r"\1"), (r"\\%", "%"), (r"</?su[bp]>", ""), (r"\$|\\[()]", ""), (r"[_^]\{([^{}]*)\}", r"\1"), (r"(?<=\p{L})-\s+(?=\p{L})", ""), (r"\s+(?=[,.;:!?%)\]])", ""),
-    ):
-        s = regex.sub(pattern, new, s)
-    return NormalText(s).text
+    )
+]
+#: What one of them could change has one of these.
+_FOLDABLE = regex.compile(r"[‘’‚‛“”„‟‐‑‒–—−\uFFFD\\<>!^_$-]|\s[,.;:!?%)\]]")
+
+
+def fold_annotation(s: str) -> str:
+    """Comparison form of a page's text: quotes and hyphens unified, words joined over line ends, marks of mathematics plain, no space before punctuation."""
+    if _FOLDABLE.search(s):
+        for pattern, new in _FOLDS:
+            s = pattern.sub(new, s)
+    return normal_text(s)
 
 
 def order_key(sort_index: Column, page: Column, key: Column) -> list[Column]:
@@ -44,7 +54,7 @@ def existing_annotations(wanted: DataFrame, held: DataFrame, most: int = 10_000)
 
 
 def _by_context(text: str, found: list[int], size: int, prefix: str, suffix: str) -> list[int]:
-    p, s = NormalText(prefix or "").text, NormalText(suffix or "").text
+    p, s = normal_text(prefix or ""), normal_text(suffix or "")
     good = found
     if len(p) >= CONTEXT:
         good = [i for i in good if text[:i].rstrip().endswith(p)]
@@ -67,9 +77,9 @@ def anchor(markdown: str, pages: list[tuple[int, int, int]], notes: list[dict])
         return hit[0] if len(hit) == 1 else None
 
     for note in notes:
-        target, span, how = NormalText(note["text"] or "").text, None, "not-found"
+        target, span, how = normal_text(note["text"] or ""), None, "not-found"
         b, e = note.get("begin"), note.get("end")
-        if b is not None and e is not None and 0 <= b < e <= len(markdown) and target and VisibleIndex(markdown[b:e]).text == target:
+        if b is not None and e is not None and 0 <= b < e <= len(markdown) and target and normal_text(visible_text(markdown[b:e])) == target:
             span, how = (b, e), "saved"
         found = occurrences(index.text, target)[0] if target and span is None else []
         spans = [index.source_range(i, i + len(target)) for i in found]
@@ -110,8 +120,8 @@ def overlay(docs: DataFrame, annotations: DataFrame, page_ranges: DataFrame | No
     aren't there are left out; empty texts are not found.
     """
     item = F.struct(F.coalesce("sort_index", F.lit("")).alias("s"), F.coalesce("page_index", F.lit(2**31 - 1)).alias("p"), "id", "text", F.col("page_index").alias("page"), "prefix", "suffix", "begin", "end")
-    packed = annotations.groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("notes"))
-    rows = docs.select(doc, F.coalesce(text, F.lit("")).alias("md")).join(packed, doc)
+    packed = spread(annotations, doc).groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("notes"))
+    rows = spread(docs.select(doc, F.coalesce(text, F.lit("")).alias("md")), doc).join(packed, doc)
     if page_ranges is not None:
         rows = rows.join(page_ranges.groupBy(doc).agg(F.collect_list(F.struct("begin", "end", "page")).alias("pages")), doc, "left")
     else:
@@ -123,7 +133,7 @@ def overlay(docs: DataFrame, annotations: DataFrame, page_ranges: DataFrame | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, *a) for i, md, notes, pages in zip(*(c.to_pylist() for c in batch.columns)) for a in anchor(md, [(p["begin"], p["end"], p["page"]) for p in pages or ()], notes)]
+            out = [(i, *a) for i, md, notes, pages in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *map(structs_of, batch.columns[2:])) for a in anchor(md, [(p["begin"], p["end"], p["page"]) for p in pages or ()], notes)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema.names)
 
@@ -150,25 +160,35 @@ def panel_order(found: DataFrame, annotations: DataFrame) -> DataFrame:
 # Text of pages
 
 
-def locate(pages: list[dict], note: dict) -> tuple[int | None, int | None, int | None, str]:
+def _index_without(source: str, pattern: str) -> NormalText:
+    """The normal form of what a pattern leaves of a text."""
+    gone = [m.span() for m in regex.finditer(pattern, source)]
+    if not gone:
+        return NormalText(source)
+    kept = [k for b, e in zip([0, *(e for _, e in gone)], [*(b for b, _ in gone), len(source)]) for k in range(b, e)]
+    return NormalText("".join(source[k] for k in kept), kept, [k + 1 for k in kept])
+
+
+def locate(pages: list[dict], note: dict, known: dict | None = None) -> tuple[int | None, int | None, int | None, str]:
     """``(page, begin, end, how)`` of a text in pages ``{page_index, text}``, in characters of the page's text.
 
     Ways in order: words joined at line ends, hyphens kept, without hyphens; and for texts of 32 characters or more, with § read as ±.
-    More than one place is decided by the quote's context, or is ambiguous.
+    More than one place is decided by the quote's context, or is ambiguous. ``known`` keeps the forms of the pages for other texts.
     """
+    known = {} if known is None else known
     ways = [("joined", r"(?<=\p{L})-\s+(?=\p{L})"), ("hyphens", r"(?<=\p{L}-)\s+(?=\p{L})"), ("folded", r"(?<=\p{L})[-‐‑]\s*(?=\p{L})")]
-    some = [p for p in pages if note.get("page") is None or p["page_index"] == note["page"]]
+    some = [(k, p) for k, p in enumerate(pages) if note.get("page") is None or p["page_index"] == note["page"]]
     for glyph in (False, True):
         if glyph and not (len(note["text"] or "") >= 32 and regex.search(r"±\s*\d", note["text"])):
             break
         for how, pattern in ways:
-            target = NormalText(regex.sub(pattern, "", note["text"] or "")).text
+            target = normal_text(regex.sub(pattern, "", note["text"] or ""))
             hits = []
-            for p in some:
-                source = regex.sub(r"§(?=\s*\d)", "±", p["text"] or "") if glyph else p["text"] or ""
-                gone = {k for m in regex.finditer(pattern, source) for k in range(*m.span())}
-                kept = [k for k in range(len(source)) if k not in gone]
-                index = NormalText("".join(source[k] for k in kept), kept, [k + 1 for k in kept])
+            for k, p in some:
+                index = known.get((k, pattern, glyph))
+                if index is None:
+                    source = regex.sub(r"§(?=\s*\d)", "±", p["text"] or "") if glyph else p["text"] or ""
+                    index = known[k, pattern, glyph] = _index_without(source, pattern)
                 hits += [(p["page_index"], index, i) for i in occurrences(index.text, target)[0]]
             if len(hits) > 1:
                 near = [h for h in hits if _by_context(h[1].text, [h[2]], len(target), note.get("prefix"), note.get("suffix"))]
@@ -183,15 +203,15 @@ def locate(pages: list[dict], note: dict) -> tuple[int | None, int | None, int |
 
 def locate_in_pages(notes: DataFrame, pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``(doc, id, page_index, begin_at, end_at, how)`` of texts ``(doc, id, text, page, prefix, suffix)`` in pages ``(doc, page_index, text)``."""
-    packed = notes.groupBy(doc).agg(F.collect_list(F.struct("id", "text", "page", "prefix", "suffix")).alias("notes"))
-    text = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("pages"))
+    packed = spread(notes, doc).groupBy(doc).agg(F.collect_list(F.struct("id", "text", "page", "prefix", "suffix")).alias("notes"))
+    text = spread(pages, doc).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page_index", "text"))).alias("pages"))
     rows = packed.join(text, doc).select(doc, "notes", "pages")
     schema = T.StructType([rows.schema[doc], notes.schema["id"], *(T.StructField(n, T.IntegerType()) for n in ("page_index", "begin_at", "end_at")), T.StructField("how", T.StringType())])
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i, n["id"], *locate(ps, n)) for i, ns, ps in zip(*(c.to_pylist() for c in batch.columns)) for n in ns]
+            out = [(i, n["id"], *locate(ps, n, known)) for i, ns, ps in zip(batch.column(0).to_pylist(), *map(structs_of, batch.columns[1:])) for known in ({},) for n in ns]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema.names)
 
