@@ -7,6 +7,7 @@ import unicodedata
 import zipfile
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers as I, records as R
@@ -326,3 +327,57 @@ def test_inline_math_rules():
     assert M.inline_math("a $x$ b $5 and $6, \\(y\\)") == [(2, 5), (19, 24)]
     assert M.inline_math("$ x$ $x $ $ x $ $$ $a b$c $a$1") == [(10, 15)]
     assert M.inline_math("$a\nb$ \\(a\nb\\)") == []
+
+
+def test_patterns_are_compiled_once(monkeypatch):
+    text = "# T\n\nas in [1] and (Lee et al., 2001), see Fig. 2b\n\n![](a.png)\n\nFigure 2. Both\n\n## References\n\n[1] Lee A. First, 2001.\n"
+    scans = [C.mentions_of, C.references_of, G.figures_of, G.mentions_of, FM.affiliations_of, W.normalize, A.fold_annotation]
+    for f in scans:
+        list(f(text))
+    monkeypatch.setattr(regex._main, "_compile", None)  # what finds a pattern for the module's functions
+    for f in scans:
+        list(f(text))
+
+
+def test_scans_are_spread(spark):
+    one = docs(spark, *["# T\n\nas in [1]\n\n## References\n\n[1] Lee A. First, 2001.\n"] * 40).coalesce(1)
+    notes = one.selectExpr("doc_id", "1 as id", "'First' as text", "'' as sort_index", "0 as page_index", "'' as prefix", "'' as suffix", "cast(null as int) as begin", "cast(null as int) as end", "0 as page")
+    items = one.selectExpr("doc_id", "0 as ordinal", "'text' as type", "text", "cast(null as string) as asset_path", "0 as page_index", "array(1.0D, 2.0D, 3.0D, 4.0D) as bbox")
+    md = one.withColumnRenamed("text", "markdown")
+    found = [
+        C.references(one), C.mentions(one), C.linked(one), C.citations(one), G.figures(one), G.labelled_links(one), FM.author_affiliations(one), A.overlay(md, notes), W.prepared(md.selectExpr("*", "false as edited"), items),
+        A.locate_in_pages(notes, one.selectExpr("doc_id", "0 as page_index", "text")), S.block_ranges(md, items), REL.greedy_intervals(one.selectExpr("doc_id", "1 as b", "2 as e"), ["doc_id"], "b", "e"),
+    ]
+    assert [df.rdd.getNumPartitions() for df in found] == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * len(found)
+
+
+def test_links_of_a_text_are_those_of_the_joins(spark):
+    rnd = random.Random(3)
+    said = ["as in [1] and [2, 3]", "(1) and so on", "Then (2-3) came.", "known<sup>1</sup>", "$^{2}$", "(see Smith et al., 2001; Ng and Wu 2002, 2003b)", "Smith et al. (2001) say", "Lee (2001)", "both [1] [3]"]
+    refs = ["[1] Lee A. First, 2001.", "[2] Ng B, Wu C. Second, 2002.", "[3] Ng, Wu (2003b) Third", "[1] Smith A. Again (2001)"]
+    some = docs(spark, *["# T\n\n" + " and ".join(rnd.choices(said, k=5)) + "\n\n# References\n\n" + "\n".join(rnd.sample(refs, rnd.randrange(5))) + "\n" for _ in range(120)])
+    found, held = C.mentions(some), C.references(some)
+    both = C.numeric_links(found, held).unionByName(C.author_year_links(found, held))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "begin_at", "end_at", "style", "ref_id").collect()))
+    assert rows(C.linked(some)) == rows(both) and {r[3] for r in rows(both)} == {"bracket", "round", "raised", "dated"}
+
+
+def test_copies_of_a_document_have_their_own_links(spark):
+    text = "see Fig. 1 and [1]\n\n![Figure 1. One](a.png)\n\n# References\n\n[1] Lee A. First, 2001.\n"
+    twice = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id int, text string")
+    assert [(r.doc_id, r.begin_at) for r in G.labelled_links(twice).orderBy("doc_id").collect()] == [(None, 4), (1, 4), (1, 4)]
+    assert [(r.doc_id, r.ref_id) for r in C.linked(twice).orderBy("doc_id").collect()] == [(None, "number:1"), (1, "number:1"), (1, "number:1")]
+
+
+def test_greedy_intervals_over_batches(spark):
+    rows = [(g, b, b + 3) for g in range(300) for b in range(9)] + [(None, 1, 2), (None, 1, 4), (None, 2, 3), (7, None, 5), (8, 90, None), (8, 95, 99)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = REL.greedy_intervals(spark.createDataFrame(rows, "g int, b int, e int"), ["g"], "b", "e").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append((r.b, r.e))
+    assert sorted(by.pop(None)) == [(1, 2), (2, 3)] and sorted(by.pop(8)[-1:]) == [(90, None)]
+    assert len(by) == 299 and all(sorted(v) == [(0, 3), (3, 6), (6, 9)] for v in by.values())
