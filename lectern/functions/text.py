@@ -59,6 +59,11 @@ def plain_reference(c: Column) -> Column:
     return squash(chain(c, (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"<(https?://[^>]+)>", "$1"), (r"</?[A-Za-z][^>]*>", " "), (r"[*_~`]+", "")))
 
 
+def word_runs(words: str, n: int) -> Column:
+    """All runs of ``n`` words of a column of words, joined by spaces; of fewer words all of them. Each run is taken by places: a slice reads the whole array."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
+
+
 def escape_html(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lectern.functions import identifiers as I
-from lectern.functions.text import title_key
+from lectern.functions.text import title_key, word_runs
 from lectern.operators.relational import ambiguous_keys, first_nonempty, unique_join
+from lectern.session import materialize, small_or_shuffled
 
 
 def normal_papers(papers: DataFrame) -> DataFrame:
@@ -163,20 +164,23 @@ def reference_status(lookups: DataFrame, items: DataFrame, kinds: tuple[str, ...
     """``(lookup_id, status, can_import)`` of references against a library.
 
     All items that the first kind of identifier with any hit leads to count. More than one
-    in the target library, or none there and more than one elsewhere, is ambiguous.
+    in the target library, or none there and more than one elsewhere, is ambiguous. Items are counted by identifier and library
+    before lookups meet them, so that an identifier that many items share costs a lookup no more than another.
     """
-    explode = lambda df, k: df.select(k, F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.col(c).alias("v")) for i, c in enumerate(kinds)])).alias("x")).where("x.v <> ''")
-    hits = explode(lookups, "lookup_id").join(explode(items, "item_id"), "x").select("lookup_id", "item_id", F.col("x.p").alias("p"))
-    best = hits.groupBy("lookup_id").agg(F.min("p").alias("p"))
-    hits = hits.join(best, ["lookup_id", "p"]).select("lookup_id", "item_id").distinct().join(items.select("item_id", "library_id", "has_pdf"), "item_id")
-    n = lookups.join(hits, "lookup_id", "left").groupBy("lookup_id").agg(
-        F.count_if(F.col("library_id") == F.col("target_library_id")).alias("own"), F.count_if(F.col("library_id") != F.col("target_library_id")).alias("other"),
-        F.coalesce(F.bool_or((F.col("library_id") == F.col("target_library_id")) & F.col("has_pdf")), F.lit(False)).alias("pdf"),
-    )
-    known = lookups.select("lookup_id", (F.greatest(*[(F.coalesce(F.col(c), F.lit("")) != "").cast("int") for c in kinds]) == 1).alias("reliable"))
+    named = F.filter(F.array(*[F.struct(F.lit(i).alias("p"), F.col(c).alias("v")) for i, c in enumerate(kinds)]), lambda x: x["v"] != "")
+    held = items.select("library_id", "has_pdf", F.explode(named).alias("x"))
+    held = materialize(held.groupBy("x", "library_id").agg(F.count("*").alias("n"), F.coalesce(F.bool_or("has_pdf"), F.lit(False)).alias("has_pdf")), "held")
+    held = small_or_shuffled(held, 128)
+    every = small_or_shuffled(materialize(held.groupBy("x").agg(F.coalesce(F.sum(F.when(F.col("library_id").isNotNull(), F.col("n"))), F.lit(0)).alias("every")), "every"), 96)
+    asked = lookups.select("lookup_id", F.col("target_library_id").alias("library_id"), (F.size(named) > 0).alias("reliable"), F.explode_outer(named).alias("x"))
+    own = F.coalesce("n", F.lit(0))
+    other = F.when(F.col("library_id").isNotNull(), F.col("every") - own).otherwise(0)
+    found = asked.join(every, "x", "left").join(held, ["x", "library_id"], "left").select("lookup_id", "reliable", F.when(F.col("every").isNotNull(), F.col("x.p")).alias("p"), F.struct(own.alias("own"), other.alias("other"), F.coalesce("has_pdf", F.lit(False)).alias("pdf")).alias("f"))
+    best = found.groupBy("lookup_id").agg(F.max("reliable").alias("reliable"), F.min_by("f", "p").alias("f"))
+    n = best.select("lookup_id", "reliable", *[F.coalesce(F.col(f"f.{c}"), F.lit(0)).alias(c) for c in ("own", "other")], F.coalesce("f.pdf", F.lit(False)).alias("pdf"))
     ambiguous = (F.col("own") > 1) | ((F.col("own") == 0) & (F.col("other") > 1))
     status = F.when(ambiguous, "ambiguous").when((F.col("own") == 1) & F.col("pdf"), "present").when(F.col("own") == 1, "present-no-pdf").when(F.col("other") == 1, "present-other-library").when(F.col("reliable"), "absent").otherwise("unknown")
-    return n.join(known, "lookup_id").select("lookup_id", status.alias("status"), (F.col("reliable") & ~ambiguous).alias("can_import"))
+    return n.select("lookup_id", status.alias("status"), (F.col("reliable") & ~ambiguous).alias("can_import"))
 
 
 def title_candidates(texts: DataFrame, titles: DataFrame, min_length: int = 8, words: int = 3, limit: int | None = None) -> DataFrame:
@@ -190,10 +194,10 @@ def title_candidates(texts: DataFrame, titles: DataFrame, min_length: int = 8, w
     t = titles.withColumn("tk", title_key(F.col("title"))).where(F.length("tk") >= min_length)
     t = t.withColumn("g", F.array_join(F.slice(F.split("tk", " "), 1, words), " ")).withColumn("k", F.least(F.size(F.split("tk", " ")), F.lit(words)))
     keyed = texts.withColumn("rk", F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")))
-    ws = F.split("rk", " ")
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
-    asked = keyed.select("ref_id", F.explode(F.array_distinct(F.flatten(F.array(*[grams(n) for n in range(1, words + 1)])))).alias("g"))
-    firsts = t.select("g").distinct()
+    listed = keyed.select("ref_id", F.split("rk", " ").alias("ws"))
+    asked = listed.select("ref_id", F.explode(F.array_distinct(F.flatten(F.array(*[word_runs("ws", n) for n in range(1, words + 1)])))).alias("g"))
+    t = materialize(t, "titles")
+    firsts = small_or_shuffled(t.select("g").distinct(), 96)  # most runs of words begin no title and go before any shuffle
     pairs = asked.join(firsts, "g", "left_semi").join(t.select("g", "item_id"), "g").select("ref_id", "item_id").distinct()
     rule = F.contains(F.concat(F.lit(" "), "rk", F.lit(" ")), F.concat(F.lit(" "), "tk", F.lit(" ")))
     right = ["item_id", "tk"]
@@ -205,7 +209,8 @@ def title_candidates(texts: DataFrame, titles: DataFrame, min_length: int = 8, w
         t, right = t.withColumn("__a", F.coalesce("authors", F.array().cast("array<string>"))), [*right, "__a"]
         own = F.coalesce(F.col("authors"), F.array().cast("array<string>"))
         rule &= (F.size(own) == 0) | (F.size("__a") == 0) | F.arrays_overlap(own, "__a")
-    hit = pairs.join(t.select(*right), "item_id").join(keyed, "ref_id").where(rule).select("ref_id", "item_id").distinct()
+    asked_for = small_or_shuffled(materialize(pairs.join(t.select(*right), "item_id"), "pairs"), 1200)  # texts stay where they are if the pairs are few
+    hit = keyed.join(asked_for, "ref_id").where(rule).select("ref_id", "item_id").distinct()
     if limit is None:
         return hit
     return hit.withColumn("__n", F.row_number().over(Window.partitionBy("ref_id").orderBy("item_id"))).where(F.col("__n") <= limit).drop("__n")

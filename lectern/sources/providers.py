@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lectern.functions import identifiers as I, records as R
-from lectern.functions.text import squash, title_key
+from lectern.functions.text import squash, title_key, word_runs
 from lectern.operators.relational import fold_rows, unique_keys
 
 #: References of a paper that count; those beyond mark it truncated.
@@ -85,8 +85,7 @@ def search_papers(queries: DataFrame, papers: DataFrame, limit: int = 10) -> Dat
     both = queries.select("query_id", "year", F.array(F.struct(F.lit(0).alias("step"), title_key("text").alias("q")), F.struct(F.lit(1).alias("step"), title_key(R.title_query(F.col("text"))).alias("q"))).alias("qs"))
     asked = both.select("query_id", F.col("year").alias("qy"), F.inline("qs")).where("q <> ''").withColumn("g", F.array_join(F.slice(F.split("q", " "), 1, 3), " "))
     held = papers.select("node", F.col("year").alias("py"), title_key(F.col("title")).alias("tk")).withColumn("ws", F.split("tk", " "))
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("ws"), i, n), " "))
-    held = held.select("node", "py", "tk", F.explode(F.array_distinct(F.flatten(F.array(gram(1), gram(2), gram(3))))).alias("g"))
+    held = held.select("node", "py", "tk", F.explode(F.array_distinct(F.flatten(F.array(*[word_runs("ws", n) for n in (1, 2, 3)])))).alias("g"))
     hit = asked.join(held, "g").where(F.contains(F.concat(F.lit(" "), "tk", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" "))) & (F.col("qy").isNull() | (F.col("qy") == F.col("py"))))
     hit = hit.select("query_id", "node", "step").distinct()
     best = hit.withColumn("least", F.min("step").over(Window.partitionBy("query_id"))).where("step = least")

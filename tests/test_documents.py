@@ -381,3 +381,20 @@ def test_greedy_intervals_over_batches(spark):
         by.setdefault(r.g, []).append((r.b, r.e))
     assert sorted(by.pop(None)) == [(1, 2), (2, 3)] and sorted(by.pop(8)[-1:]) == [(90, None)]
     assert len(by) == 299 and all(sorted(v) == [(0, 3), (3, 6), (6, 9)] for v in by.values())
+
+
+def test_status_of_an_identifier_that_many_items_share(spark):
+    n, began = 20_000, time.time()
+    items = spark.range(n).selectExpr("id as item_id", "cast(id % 2 as int) as library_id", "if(id = 7, '10.1/one', '10.1/all') as doi", "'' as pmid", "id % 5 = 0 as has_pdf")
+    lookups = spark.range(n).selectExpr("id as lookup_id", "case id when 0 then '10.1/one' when 1 then '' when 2 then '10.1/none' else '10.1/all' end as doi", "if(id = 3, '5', '') as pmid", "cast(id % 3 as int) as target_library_id")
+    got = graph.reference_status(lookups, items, ("doi", "pmid"))
+    assert {r.status: r["count"] for r in got.groupBy("status").count().collect()} == {"present-other-library": 1, "unknown": 1, "absent": 1, "ambiguous": n - 3}
+    assert time.time() - began < 60  # 400 million pairs, were each item to meet each lookup
+
+
+def test_title_candidates_in_a_long_text(spark):
+    began = time.time()
+    texts = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(60_000))), (2, "only w59998 w59999 x"), (3, None)], "ref_id int, text string")
+    titles = spark.createDataFrame([(1, "W59997 w59998, w59999"), (2, "w59998 w59999"), (3, "w59999 w59998 w1")], "item_id int, title string")
+    assert sorted(map(tuple, graph.title_candidates(texts, titles).collect())) == [(1, 1), (1, 2), (2, 2)]
+    assert time.time() - began < 60  # runs of words cut from a whole array of words each are quadratic
