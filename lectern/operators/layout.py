@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lectern.session import spread
+
 
 def valid_box(page: Column, bbox: Column) -> Column:
     """Page at least 0 and four coordinates within 0 and 1000 that span an area."""
@@ -17,6 +19,7 @@ def reading_order(boxes: DataFrame, keys: list[str], ord_col: str = "ord", min_g
     The two columns part at the widest gap between a left and a right set, by x0, if it has
     ``min_gap`` and every box on either side is at least ``min_width`` wide; otherwise there is one.
     """
+    boxes = spread(boxes, *keys)
     up = Window.partitionBy(*keys).orderBy("x0", ord_col)
     down = Window.partitionBy(*keys).orderBy(F.col("x0").desc(), F.col(ord_col).desc())
     wide = F.col("x1") - F.col("x0")
@@ -34,6 +37,7 @@ def panel_pairs(boxes: DataFrame, keys: list[str], id_col: str = "ord") -> DataF
 
     The boxes share 80 % of the smaller extent, their sizes differ by a quarter at most, and the gap is -20 to 60.
     """
+    boxes = spread(boxes, *keys)
     a = boxes.select(*keys, F.col(id_col).alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")])
     b = boxes.select(*keys, F.col(id_col).alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
 
@@ -45,6 +49,6 @@ def panel_pairs(boxes: DataFrame, keys: list[str], id_col: str = "ord") -> DataF
         return (common >= 0.8 * F.least(la, lb)) & (F.least(la, lb) >= 0.75 * F.greatest(la, lb)) & (F.least(wa, wb) >= 0.75 * F.greatest(wa, wb)) & gap.between(-20, 60)
 
     pairs = a.join(b, keys).where("a <> b").withColumn("layout", F.when(fits("x", "y"), "horizontal").when(fits("y", "x"), "vertical")).where("layout is not null")
-    ends = pairs.select(*keys, F.col("a").alias("p")).unionAll(pairs.select(*keys, F.col("b").alias("p"))).groupBy(*keys, "p").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    pairs = pairs.select(*keys, "a", "b", "layout")
-    return pairs.join(ends.withColumnRenamed("p", "a"), [*keys, "a"], "left_semi").join(ends.withColumnRenamed("p", "b"), [*keys, "b"], "left_semi").select(*keys, "a", "b", "layout")
+    ends = pairs.select(*keys, "a", "b", "layout", F.explode(F.array("a", "b")).alias("p"))
+    alone = ends.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "p"))).where("n = 1")
+    return alone.groupBy(*keys, "a", "b", "layout").agg(F.count("*").alias("n")).where("n = 2").drop("n")
