@@ -223,7 +223,7 @@ def item_rects(ranges: DataFrame, items: DataFrame) -> DataFrame:
 
     An item's part is its share of characters. Parts on one line (both edges within 1) with a gap of 2 or less are one rectangle.
     """
-    hit = ranges.join(items, ["doc_id", "page_index"]).where("source_from < end_at and begin_at < source_to")
+    hit = spread(ranges, "doc_id").join(spread(items, "doc_id"), ["doc_id", "page_index"]).where("source_from < end_at and begin_at < source_to")
     share = lambda c: (c - F.col("source_from")) / (F.col("source_to") - F.col("source_from"))
     x0 = F.col("x") + F.col("width") * share(F.greatest("begin_at", "source_from"))
     x1 = F.col("x") + F.col("width") * share(F.least("end_at", "source_to"))
