@@ -17,8 +17,8 @@ def _bounded(c: Column) -> Column:
 def doi(c: Column) -> Column:
     """DOI in lower case without prefix, resolver or angle brackets; '' where it is none."""
     x = F.trim(chain(_bounded(c), (r"(?i)\Adoi\s*:\s*", ""), (r"(?i)\Ahttps?://(dx\.)?doi\.org/", "")))
-    x = F.when(x.rlike(r"(?s)\A<.*>\z"), F.trim(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
-    return F.when(x.rlike(r"\A10\.[0-9]{4,9}/[!#-'*+\--;<=>?@A-Z\[\]^_`a-z{|}~./]+\z"), F.lower(x)).otherwise("")
+    x = F.regexp_replace(x, r"(?s)\A< *(.*?) *>\z", "$1")
+    return F.lower(F.regexp_extract(x, r"\A(10\.[0-9]{4,9}/[!#-'*+\--;<=>?@A-Z\[\]^_`a-z{|}~./]+)\z", 1))  # each step once: a column named twice is computed twice
 
 
 def arxiv(c: Column) -> Column:
@@ -28,18 +28,18 @@ def arxiv(c: Column) -> Column:
         (r"(?s)[?#].*\z", ""), (r"(?i)\.pdf\z", ""), (r"(?i)v[0-9]+\z", ""),
     )
     x = F.lower(F.trim(x))
-    return F.when(x.rlike(r"\A([0-9]{4}\.[0-9]{4,5}|[a-z][a-z0-9.\-]*/[0-9]{7})\z"), x).otherwise("")
+    return F.regexp_extract(x, r"\A([0-9]{4}\.[0-9]{4,5}|[a-z][a-z0-9.\-]*/[0-9]{7})\z", 1)
 
 
 def openalex(c: Column) -> Column:
     x = F.upper(F.trim(F.regexp_replace(_bounded(c), r"(?i)\Ahttps?://openalex\.org/", "")))
-    return F.when(x.rlike(r"\AW[1-9][0-9]*\z"), x).otherwise("")
+    return F.regexp_extract(x, r"\A(W[1-9][0-9]*)\z", 1)
 
 
 def pmid(c: Column) -> Column:
     """One to twelve digits, bare or at the end of a PubMed URL; '' otherwise."""
     x = F.regexp_replace(_bounded(c), r"(?i)\Ahttps?://(pubmed\.ncbi\.nlm\.nih\.gov|www\.ncbi\.nlm\.nih\.gov/pubmed)/([0-9]+)/?\z", "$2")
-    return F.when(x.rlike(r"\A[0-9]{1,12}\z"), x).otherwise("")
+    return F.regexp_extract(x, r"\A([0-9]{1,12})\z", 1)
 
 
 def _first(found: Column, normal) -> Column:
@@ -69,17 +69,20 @@ def pdf_url(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.get(F.filter(links, is_pdf_url), F.lit(0)), r"#.*\z", ""), F.lit(""))
 
 
+#: Four numbers to 255, leading zeros and nine digits at most, in a private, shared, loopback or link-local range.
+_OCTET = r"(?=[0-9]{1,9}(?:\.|\z))0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_INNER = r"(?:0*(?:0|10|127)\.|0*100\.0*(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|0*169\.0*254\.|0*172\.0*(?:1[6-9]|2[0-9]|3[01])\.|0*192\.0*168\.)"
+_PRIVATE = rf"\A(?={_OCTET}(?:\.{_OCTET}){{3}}\z){_INNER}"
+
+
 def is_public_url(u: Column) -> Column:
     """http(s) without user to a host that is neither local nor in a private, shared, loopback or link-local range of IPv4 or IPv6."""
     host = F.lower(F.regexp_extract(u, r"(?i)\Ahttps?://(\[[0-9a-f:.]+\]|[^/?#:@\[\]\s]+)(?::[0-9]+)?(?:[/?#]|\z)", 1))
     host = F.regexp_replace(host, r"[\[\]]", "")
-    octets = F.transform(F.split(host, r"\."), lambda x: F.when(x.rlike(r"\A[0-9]{1,9}\z"), x.cast("int")))
-    four = (F.size(octets) == 4) & F.forall(octets, lambda x: x.isNotNull() & (x <= 255))
-    a, b = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
-    inner = a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+    inner = host.rlike(_PRIVATE)
     local = host.rlike(r"\A(?:localhost|.*\.(?:localhost|local|internal|home\.arpa))\z")
     six = host.rlike(r"\A(?:::1?\z|f[cd]|fe[89ab]|::ffff:(?:0:)?(?:127\.|10\.|192\.168\.))")
-    return F.coalesce((host != "") & ~local & F.when(four, ~inner).when(host.contains(":"), ~six).otherwise(True) & (F.length(u) <= 4096), F.lit(False))
+    return F.coalesce((host != "") & ~local & ~inner & (~host.contains(":") | ~six) & (F.length(u) <= 4096), F.lit(False))
 
 
 def public_url(u: Column) -> Column:

@@ -96,9 +96,10 @@ def open_access(refs: DataFrame, first: str = "s2_url", second: str = "oa_url")
     """``refs`` with ``pdf_url`` and ``pdf_source``: the archive's own address, then two providers' answers, then the reference's link; public links only."""
     arxiv = I.arxiv(F.col("arxiv_id"))
     ways = [("arxiv", F.when(arxiv != "", F.concat(F.lit("https://arxiv.org/pdf/"), arxiv))), (first.removesuffix("_url"), F.col(first)), (second.removesuffix("_url"), F.col(second)), ("reference", F.col("pdf_url"))]
-    good = [(n, F.nullif(I.public_url(c), F.lit(""))) for n, c in ways]
-    source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in good])
-    return refs.withColumn("__u", F.coalesce(*[c for _, c in good])).withColumn("pdf_source", source).withColumn("pdf_url", F.coalesce("__u", F.lit(""))).drop("__u")
+    held = refs.withColumns({f"__{n}": F.coalesce(c, F.lit("")) for n, c in ways})
+    first_of = F.coalesce(*[F.when(I.is_public_url(F.col(f"__{n}")), F.struct(F.lit(n).alias("n"), F.regexp_replace(f"__{n}", r"#.*\z", "").alias("u"))) for n, _ in ways])  # the later ways only where the first have none
+    found = held.withColumn("__x", F.explode(F.array(first_of)))  # computed once for both columns
+    return found.withColumn("pdf_source", F.col("__x.n")).withColumn("pdf_url", F.coalesce("__x.u", F.lit(""))).drop("__x", *[f"__{n}" for n, _ in ways])
 
 
 # The library
