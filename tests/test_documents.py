@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 from lectern.functions import identifiers as I, records as R
-from lectern.operators import safe_html as H, affiliations as FM, anchors as A, cache, citations as C, figures as G, flow as W, graph, markdown as M, relational as REL, sourcemap as S, translation as TR
+from lectern.operators import safe_html as H, affiliations as FM, anchors as A, cache, citations as C, figures as G, flow as W, graph, layout as L, markdown as M, relational as REL, sourcemap as S, translation as TR
 from lectern.sources import providers as P, store
 from lectern.sources.archive import is_stable_list, open_archive
 
@@ -398,3 +398,30 @@ def test_title_candidates_in_a_long_text(spark):
     titles = spark.createDataFrame([(1, "W59997 w59998, w59999"), (2, "w59998 w59999"), (3, "w59999 w59998 w1")], "item_id int, title string")
     assert sorted(map(tuple, graph.title_candidates(texts, titles).collect())) == [(1, 1), (1, 2), (2, 2)]
     assert time.time() - began < 60  # runs of words cut from a whole array of words each are quadratic
+
+
+def test_windows_and_joins_of_documents_are_spread(spark):
+    rows = spark.range(40).selectExpr("id as doc_id", "explode(sequence(1, 4)) as ord")
+    boxes = rows.selectExpr("doc_id", "ord", "if(ord % 2 = 1, 50, 500) as x0", "if(ord % 2 = 1, 480, 930) as x1", "floor((ord - 1) / 2) * 240 as y0", "floor((ord - 1) / 2) * 240 + 150 as y1")
+    spot = "named_struct('page_index', 0, 'bbox', array(1.0D, 2.0D, 3.0D, 4.0D))"
+    entries = rows.selectExpr("doc_id", "ord * 10 as md_from", "ord * 10 + 8 as md_to", f"array({spot}) as locations", f"array(named_struct('md_from', 1, 'md_to', 2, 'location', {spot})) as location_ranges")
+    found = [L.reading_order(boxes, ["doc_id"]), L.panel_pairs(boxes, ["doc_id"]), S.page_hint(rows.selectExpr("doc_id", "ord * 10 as begin", "ord * 10 + 2 as end"), entries), S.shifted(entries, rows.selectExpr("doc_id", "ord * 10 + 3 as begin", "ord * 10 + 5 as end", "4 as size"))]
+    assert [df.rdd.getNumPartitions() for df in found] == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 4
+    assert [df.count() for df in found] == [160, 80, 160, 160]
+    assert sorted(map(tuple, L.panel_pairs(boxes.where("doc_id < 2"), ["doc_id"]).collect())) == [(d, a, a + 1, "horizontal") for d in (0, 1) for a in (1, 3)]
+
+
+def test_lines_bound_their_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        M.lines(docs(spark, "a\nb"))
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_identifiers_name_their_text_once(spark):
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (*(docs(spark, "x").select(f(F.col("text")).alias("x")) for f in (I.doi, I.arxiv, I.pmid)),)]
+    assert [p.count("coalesce(") for p in plans] == [1, 1, 1]
+    assert values(spark, ["<10.1234/Ab>", "< doi:10.1234/ab >", "doi: < 10.1234/ab >", "<>", "<10.1/a>", "10.1234/a b", None, "HTTPS://dx.doi.org/<10.1234/AB>"], I.doi) == ["10.1234/ab", "", "10.1234/ab", "", "", "", "", "10.1234/ab"]
+    assert values(spark, ["http://010.0.0.1/", "http://100.064.0.1/", "http://0256.1.1.1/", "http://10.0.0.1.5/", "http://1000000010.0.0.1/", "http://192.168.1/", "http://172.15.0.1/", "http://8.8.8.8/"], I.is_public_url) == [False, False, True, True, True, True, True, True]
